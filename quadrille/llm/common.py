@@ -1,64 +1,24 @@
-"""What the operators share: reading tables, tables in the shared folder, and plain SQL expressions."""
+"""What the operators share: reading tables and plain SQL expressions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch, broadcast_if
+
+__all__ = ["Scratch", "broadcast_if", "is_remainder", "lowered", "n_words", "remainder", "table", "words"]
+
 #: Separators of words: space and the control characters from tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; if unset, a temporary one, which only a local master can use."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="quadrille-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return _own_folder[0]
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage: what is read again doesn't depend on lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *kept: DataFrame) -> None:
-        """Deletes tables of keep() that no pending result reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def lowered(text: Column) -> Column:
     """A-Z only."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -80,8 +40,3 @@ def remainder(key: Column, n: int) -> Column:
 
 def is_remainder(key: Column, n: int, r: int) -> Column:
     return F.coalesce(remainder(key, n) == r, F.lit(False))
-
-
-def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
-    """Marked for broadcast if it has no more than limit rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

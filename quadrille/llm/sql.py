@@ -33,7 +33,7 @@ o AS (
   FROM s
 ),
 -- The level is that of the first source, by the ratio of its limit to its weight, that stays within its limit.
-l AS (SELECT min((total - full_before) / w_left) AS level FROM o WHERE (total - full_before) / w_left * w <= 2.0 * source_size),
+l AS (SELECT (total - full_before) / w_left AS level FROM o WHERE (total - full_before) / w_left * w <= 2.0 * source_size ORDER BY 2.0 * source_size / w, source LIMIT 1),
 t AS (SELECT source, source_size, least(2.0 * source_size, level * w)::DOUBLE AS target FROM o, l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
 p AS (
