@@ -11,9 +11,10 @@ from .common import Scratch
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node that links reach from it) for each node of links (a long, b long).
 
-    Each round hooks every node to its smallest neighbour, follows the hooks twice, and replaces the ends of links by what
-    they lead to; links within one group go. The smallest node of a component never moves, so it is what remains. Minima
-    are taken before the shuffle, and each round's tables are written, so that a lost executor costs one round.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends (each step doubles the way), and
+    replaces the ends of links by what they lead to; links within one group go. The smallest node of a component never moves,
+    so it is what remains. Minima are taken before the shuffle, and each step's tables are written, so that a lost executor
+    costs one step.
     """
     # Hooks name smaller nodes only, so following them ends.
     ends = scratch.keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -21,11 +22,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while ends.limit(1).count():
         hook = ends.select(F.col("b").alias("node"), F.col("a").alias("to")).groupBy("node").agg(F.min("to").alias("to"))
         hook = scratch.keep(hook)
-        for _ in range(2):
+        while True:
             on = hook.select(F.col("node").alias("at"), F.col("to").alias("further"))
-            new = scratch.keep(hook.join(on, F.col("to") == F.col("at"), "left").select("node", F.coalesce("further", "to").alias("to")))
+            new = scratch.keep(hook.join(on, F.col("to") == F.col("at"), "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
             scratch.drop(hook)
-            hook = new
+            hook = new.select("node", "to")
+            hook._scratch_path = new._scratch_path
+            if not new.where("moved").limit(1).count():
+                break
         new_ends = _moved(_moved(ends, hook, "a"), hook, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         kept = scratch.keep(new_ends)
         if roots is None:

@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
 1. Documents with the same set of word shingles are one class.
-2. Blocks. In an order that all sets share, two sets of similarity t have one of the first n - ceil(t n) + 1 shingles of each in
-   common. The order puts the shingles that a first pass saw often last (this only saves work, any order finds all links), then
-   goes by hash. Classes that share such a shingle are brought together in clusters, through links to one class of each block;
-   blocks of frequent shingles are dealt under salts first.
+2. Blocks. In an order that all sets share, two sets of similarity t have l of the first n - ceil(t n) + l shingles of each in
+   common; l is a twentieth of the smallest size that can be linked with n. The order puts the shingles that a first pass saw often
+   last (this only saves work, any order finds all links), then goes by hash. Classes that share fewer than l of their first
+   shingles with any others have no link and go. Of the rest, those that share one and are of sizes that can be linked are brought
+   together in clusters, through links to one class of each block; blocks of frequent shingles are dealt under salts first.
 3. In a cluster, shingles are hashed into groups; a class is the point of its group counts. An R-tree over the points bounds the
    overlap of a set with all sets of a box by the sum over groups of the smaller of its count and the box's upper count; what the
    bound and the sizes leave is verified by exact intersection. Pairs that are connected already are skipped. Large clusters are
@@ -55,10 +56,15 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def in_common(n: int, percent: int) -> int:
+    """First shingles that a set of n must have in common with any set linked to it."""
+    return max(1, needed(n, percent) // 20)
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set in the common order, and which of them are frequent."""
     often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[: len(s) - needed(len(s), percent) + 1]
+    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[: len(s) - needed(len(s), percent) + max(1, len(s) // 20)]
     return s[order], often[order]
 
 
@@ -182,8 +188,73 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
     return table.where("often is null").drop("often"), np.sort(top["cls"].to_numpy(np.int64).view(np.uint64))
 
 
+ROW = "shingle long, salt int, cls long, lo long, hi long"
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of shingle, salt, lo and cls, one for each class of blocks with two or more, and all of salted blocks."""
+    held = None  # the last row, and whether its block has one before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "salt", "cls", "lo", "hi")])
+        if held is not None:
+            rows = np.concatenate([held[0], rows], 1)
+        rows = rows[:, np.concatenate([[True], (np.diff(rows[:3]) != 0).any(0)])]
+        same = (np.diff(rows[:2]) == 0).all(0)
+        before = np.concatenate([[held is not None and held[1]], same])
+        keep = before | np.append(same, False) | (rows[1] > 0)
+        held = rows[:, -1:], before[-1] or rows[1, -1] > 0
+        yield _rows(rows[:, :-1][:, keep[:-1]])
+    if held is not None and held[1]:
+        yield _rows(held[0])
+
+
+def _rows(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), *(pa.array(x) for x in rows[2:])], ["shingle", "salt", "cls", "lo", "hi"])
+
+
+def stars(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks, in order of shingle, salt and lo, are cut where no size can be linked with one beyond; a, b: links of each part to its first class. Of salted parts, also a row of that class with the part's sizes."""
+    far = np.int64(1) << 40
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.zeros((5, 0), np.int64)
+
+        def out(ends: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+            none = lambda n: pa.nulls(n, pa.int64())
+            heads = heads[:, heads[1] > 0]
+            link, head = ends.shape[1], heads.shape[1]
+            columns = [pa.concat_arrays([pa.array(x), none(head)]) for x in ends] + [pa.concat_arrays([none(link), pa.array(heads[i])]) for i in (0, 2, 3, 4)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "shingle", "cls", "lo", "hi"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "salt", "cls", "lo", "hi")])
+            rows = np.concatenate([open_, rows], 1)
+            change = np.concatenate([[True], (np.diff(rows[:2]) != 0).any(0)])
+            block = np.cumsum(change)
+            most = np.maximum.accumulate(rows[4] + block * far) - block * far
+            change[1:] |= 100 * most[:-1] < percent * rows[3, 1:]
+            first = np.flatnonzero(change)
+            to = rows[2, first[np.cumsum(change) - 1]]
+            ends = np.unique(np.stack([to, rows[2]])[:, to != rows[2]], axis=1)
+            heads = rows[:, first]
+            heads[4] = most[np.append(first[1:], len(to)) - 1]
+            open_ = heads[:, -1:]
+            yield out(ends, heads[:, :-1])
+        yield out(np.zeros((2, 0), np.int64), open_)
+
+    return run
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "lo", "cls")
+
+
 def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """a, b: classes that share one of the first shingles of both are connected by these links."""
+    """a, b: by these links, classes that may be linked are connected."""
     known = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,30 +263,25 @@ def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequen
                 own = {digest(s): s for s in sets_of(texts, k) if len(s)}
                 firsts = [prefix(s, known.value, percent) for s in own.values()]
                 if firsts:
-                    cls = np.repeat(np.array(list(own), np.int64), [len(f) for f, _ in firsts])
+                    length = [len(f) for f, _ in firsts]
+                    cls, n = np.repeat(np.array(list(own), np.int64), length), np.repeat([len(s) for s in own.values()], length)
                     often = np.concatenate([o for _, o in firsts])
-                    yield pa.RecordBatch.from_pydict({"shingle": np.concatenate([f for f, _ in firsts]).view(np.int64), "salt": np.where(often, 1 + cls % SALTS, 0).astype(np.int32), "cls": cls})
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each block, in order of shingle and salt, to its first class; of salted blocks that class, too."""
-        last = (None, None)
-        centre = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shingle, salt, cls = (batch.column(c).to_numpy() for c in ("shingle", "salt", "cls"))
-            new = np.concatenate([[(shingle[0], salt[0]) != last], (np.diff(shingle) != 0) | (np.diff(salt) != 0)])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            to = np.where(at < 0, centre, cls[at])
-            last, centre = (shingle[-1], salt[-1]), to[-1]
-            ends = np.unique(np.stack([to, cls], 1)[to != cls], axis=0)
-            head = new & (salt > 0)
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate([ends[:, 0], cls[head]]), "b": np.concatenate([ends[:, 1], shingle[head]]), "head": np.repeat([False, True], [len(ends), head.sum()])})
-
-    deal = lambda rows: rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "cls").mapInArrow(stars, "a long, b long, head boolean")
-    first = scratch.keep(deal(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "shingle long, salt int, cls long")))
-    heads = first.where("head").select(F.col("b").alias("shingle"), F.lit(0).alias("salt"), F.col("a").alias("cls"))
-    return first.where("not head").select("a", "b").union(deal(heads).select("a", "b")).distinct()
+                    yield _rows(np.stack([np.concatenate([f for f, _ in firsts]).view(np.int64), np.where(often, 1 + cls % SALTS, 0), cls, n, n]))
+
+    rows = scratch.keep(dealt(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, ROW)).mapInArrow(shared, ROW))
+    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / 20))
+    for turn in range(2):
+        enough = rows.groupBy("cls").agg(F.count("*").alias("shared"), F.max("lo").alias("n")).where(F.col("shared") >= least).select("cls")
+        rest = rows.join(enough, "cls", "left_semi").select("shingle", "salt", "cls", "lo", "hi")
+        rest = scratch.keep(dealt(rest).mapInArrow(shared, ROW))
+        scratch.drop(rows)
+        rows = rest
+    schema = "a long, b long, shingle long, cls long, lo long, hi long"
+    first = scratch.keep(dealt(rows).mapInArrow(stars(percent), schema))
+    heads = first.where("shingle is not null").select("shingle", F.lit(0).alias("salt"), "cls", "lo", "hi")
+    links = scratch.keep(first.where("a is not null").select("a", "b").union(dealt(heads).mapInArrow(stars(percent), schema).where("a is not null").select("a", "b")).distinct())
+    scratch.drop(rows, first)
+    return links
 
 
 def blockwise(percent: int, ask: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
