@@ -151,10 +151,11 @@ def search_dealt(texts: DataFrame, held: DataFrame, kind: str, salts: int = 16)
 
     rows = texts.withColumn("row", F.struct("doc_id", "text_key")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)))
     own = rows.select("row", "salt", "text").mapInArrow(run, f"row struct<doc_id:{kind},text_key:bigint>, salt long, shingle long")
-    each = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    each = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     pairs = own.join(each.where("signed"), ["salt", "shingle"]).select("row", "salt", "cls", "item_id", "n", "copies").distinct()
     counted = pairs.join(each.drop("signed"), ["salt", "cls", "item_id", "n", "copies"]).join(own.distinct(), ["row", "salt", "shingle"])
     found = counted.groupBy("row", "cls", "item_id", "n", "copies").agg(F.count("*").alias("n_held")).where(F.col("n_held") * 100 >= F.col("n") * PERCENT)
+    found = found.join(rows.select("row"), "row")  # once for each repeated row
     return found.select("row.doc_id", "row.text_key", "item_id", F.col("n").cast("long").alias("n_item"), F.col("copies").alias("n_copies"), "n_held", (F.col("n_held") / F.col("n")).alias("containment"))
 
 

@@ -357,9 +357,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for begin in range(0, len(texts), 512):
             h, cls, at = hashed(texts[begin : begin + 512])
             number, place, held = v.numbers(h, cls)
-            logs = np.where(held, v.log_count[place] if len(v.hash) else 0, 0)
+            logs = np.where(held, v.log_count[place] if len(v.hash) else 0.0, 0.0)
             other = (number >= HEADS * EACH) & (number != END)
-            tails = np.where(other, logs - v.tail_log[np.maximum(cls, 0)], 0)
+            tails = np.where(other, logs - v.tail_log[np.maximum(cls, 0)], 0.0)
             numbers.append(number.astype(np.int16))
             ats.append(ats[-1][-1] + at[1:])
             known_n.append(np.add.reduceat(held, at[:-1], dtype=np.int64))

@@ -114,7 +114,7 @@ def judge_by_table(pages: DataFrame, rules: DataFrame, default: str = "allow", s
     one = keyed.where("host <> ''").select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)))
     tails = one.select("host", "path", "salt", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("tail"))
     held = rules.select(F.col("host").alias("tail"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     rank = F.struct(F.length(F.concat("tail", "rule_path")), F.length("tail"), F.col("rule_verdict") == "block", F.concat("tail", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = tails.join(held, ["tail", "salt"]).where(F.col("path").startswith(F.col("rule_path"))).groupBy("host", "path").agg(F.max(rank).alias("r"))
     found = keyed.join(best, ["host", "path"], "left")
