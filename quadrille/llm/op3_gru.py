@@ -39,7 +39,7 @@ MAX_HELD = 200_000
 #: Part of the training documents that the network learns from, or as many as have about so many tokens; rounds; streams and steps of a window.
 PART, AT_LEAST, ROUNDS, LANES, STEPS, RATE = 1 / 16, 4_000_000, 2, 128, 32, 0.004
 #: Tokens of which a task counts the distinct ones before it passes counts on; bytes of text that are scored side by side.
-COUNTED, ABREAST = 4_000_000, 24 << 20
+COUNTED, ABREAST = 4_000_000, 12 << 20
 #: Hash of the end token.
 END_HASH = np.uint64(0)
 END = HEADS * EACH + TAILS

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_remainder, remainder
+from .common import broadcast_if, is_remainder, remainder
 from .textvec import LOWER, PLAIN, pieces
 
 #: Hashed trigrams; documents of each language to learn from, about (the bound of the sample).
 BUCKETS, PER_LANGUAGE = 2048, 800
 #: Weight of log(trigrams) for each further language; rounds of expectation-maximisation; largest set of languages.
 PENALTY, ROUNDS, MOST = 4.0, 12, 3
+#: Languages whose rates are told to all tasks; more are joined by shuffle.
+MAX_LANGUAGES = 10_000
 ROWS = 1024
 _LETTER = re.compile(rb"[A-Za-z]")
 _CODE = np.where(PLAIN, LOWER, 0).astype(np.uint32)
@@ -61,7 +63,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Mixture:
     """Learns from rows whose crc32(doc_id) mod 4 isn't 2: about per_language of each language, chosen by hash."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
-    taken = rows.join(rates, "lang").where((F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.col("rate"))
+    taken = rows.join(broadcast_if(rates, MAX_LANGUAGES), "lang").where((F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.col("rate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
