@@ -32,9 +32,9 @@ from .components import components
 from .textvec import PLAIN, Words, mixed, pieces, shingles
 
 #: Groups of a count vector; points of a leaf and boxes of a node.
-GROUPS, LEAF = 32, 8
+GROUPS, LEAF = 128, 8
 #: Classes of a piece of a cluster.
-PIECE = 1024
+PIECE = 512
 #: A shingle is frequent if a task sees it in so many sets of one pass over this many shingles; those kept at most; salts of a frequent shingle's block.
 OFTEN, SEEN, MAX_FREQUENT, SALTS = 12, 4_000_000, 500_000, 32
 #: Documents of clusters that are told to all tasks; more are joined by shuffle.
@@ -118,7 +118,7 @@ class Tree:
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount(mixed(s ^ np.uint64(0x5DEECE66D)) >> np.uint64(59), minlength=GROUPS).astype(np.int32)
+    return np.bincount(mixed(s ^ np.uint64(0x5DEECE66D)) >> np.uint64(65 - GROUPS.bit_length()), minlength=GROUPS).astype(np.int32)
 
 
 def connected(sets: list[np.ndarray], group: np.ndarray, percent: int, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
