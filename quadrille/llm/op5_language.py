@@ -28,7 +28,7 @@ BUCKETS, PER_LANGUAGE = 2048, 800
 PENALTY, ROUNDS, MOST = 4.0, 12, 3
 #: Languages whose rates are told to all tasks; more are joined by shuffle.
 MAX_LANGUAGES = 10_000
-ROWS = 1024
+ROWS = 256
 _LETTER = re.compile(rb"[A-Za-z]")
 _CODE = np.where(PLAIN, LOWER, 0).astype(np.uint32)
 _CODE[:0x41] = _CODE[0x5B:0x61] = _CODE[0x7B:0x80] = 0

@@ -164,8 +164,13 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
         held = 0
 
         def often() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(list(seen.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
-            value, n = value[n >= OFTEN], n[n >= OFTEN]
+            value = np.concatenate(list(seen.values()) or [np.zeros(0, np.uint64)])
+            seen.clear()
+            value.sort()
+            last = max(0, len(value) - OFTEN + 1)
+            begins = np.append(True, value[1:] != value[:-1])[:last]
+            value, at = value[:last][begins & (value[:last] == value[OFTEN - 1 :])], value
+            n = np.searchsorted(at, value, "right") - np.searchsorted(at, value)
             return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "cls": value.view(np.int64), "often": n})
 
         for batch in batches:
@@ -179,7 +184,7 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
                         held += len(s)
                 if held >= SEEN:
                     yield often()
-                    seen, held = {}, 0
+                    held = 0
         yield often()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

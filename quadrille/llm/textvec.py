@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are worked on at a time; a longer document is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LONG_WORD = 2048
 
 PLAIN = np.ones(256, bool)
@@ -89,14 +91,22 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task, or its neighbours on the executor, shouldn't hold what the last one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """A batch in slices of about limit bytes of text and so many rows at most, whole documents each."""
-    texts = blobs(batch.column(name))
+    length = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
     begin = size = 0
-    for i, b in enumerate(texts):
-        if i > begin and (size + len(b) > limit or i - begin == rows):
-            yield batch.slice(begin, i - begin), texts[begin:i]
+    for i, n in enumerate([*length, 0]):
+        if i > begin and (size + n > limit or i - begin == rows or i == len(length)):
+            part = batch.slice(begin, i - begin)
+            yield part, blobs(part.column(name))
             begin, size = i, 0
-        size += len(b)
-    if len(texts) > begin:
-        yield batch.slice(begin), texts[begin:]
+        size += n
+    release()
