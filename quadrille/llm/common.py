@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch, broadcast_if
 
-__all__ = ["Scratch", "broadcast_if", "is_remainder", "lowered", "n_words", "remainder", "table", "words"]
+__all__ = ["Scratch", "broadcast_if", "is_remainder", "lowered", "n_words", "remainder", "small_batches", "table", "words"]
 
 #: Separators of words: space and the control characters from tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers 1,024 rows at a time, unless the session says otherwise: both sides hold whole batches, outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "1024")
+
+
 def lowered(text: Column) -> Column:
     """A-Z only."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

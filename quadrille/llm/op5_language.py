@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, is_remainder, remainder
+from .common import broadcast_if, is_remainder, remainder, small_batches
 from .textvec import LOWER, PLAIN, pieces
 
 #: Hashed trigrams; documents of each language to learn from, about (the bound of the sample).
@@ -61,6 +61,7 @@ def has_letter(text: bytes) -> bool:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Mixture:
     """Learns from rows whose crc32(doc_id) mod 4 isn't 2: about per_language of each language, chosen by hash."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
     taken = rows.join(broadcast_if(rates, MAX_LANGUAGES), "lang").where((F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.col("rate"))

@@ -9,7 +9,7 @@
 3. In a cluster, shingles are hashed into groups; a class is the point of its group counts. An R-tree over the points bounds the
    overlap of a set with all sets of a box by the sum over groups of the smaller of its count and the box's upper count; what the
    bound and the sizes leave is verified by exact intersection. Pairs that are connected already are skipped. Large clusters are
-   cut in pieces: each piece meets itself and the first one; what isn't connected then meets all pieces.
+   cut in pieces: each piece meets itself and the first one; what isn't connected then meets all pieces of sizes that can be linked.
 4. Connected components of the links, by smallest doc_id.
 
 Null and empty texts: no shingles, linked with nothing. Null doc_id: a component_id of null, linked with nothing. Rows that repeat
@@ -18,16 +18,17 @@ a doc_id with the same text: alike; with other texts: one result each. Only doc_
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if
+from .common import Scratch, broadcast_if, small_batches
 from .components import components
 from .textvec import PLAIN, Words, mixed, pieces, shingles
 
@@ -289,6 +290,16 @@ def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequen
     return links
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes, much work: partitions by keys that aren't put together again for their small size."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def band(n: Column, percent: int) -> Column:
+    """Sets that can be linked are of the same band of sizes or of adjacent ones; a little wider than needed, for rounding."""
+    return F.floor(F.log(n) / (1.0001 * max(math.log(100 / percent), 0.05))).cast("long")
+
+
 def blockwise(percent: int, ask: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("cls").sort_values("cls").reset_index(drop=True)
@@ -302,6 +313,7 @@ def blockwise(percent: int, ask: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
 
 def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     table, frequent = class_table(docs, k, scratch)
     near = components(clusters(spark, docs, k, percent, frequent, scratch), scratch)  # node: cls, root: its cluster
@@ -324,20 +336,27 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     # Each piece with itself and with the first piece.
     tasks = F.when(F.col("piece") == 0, F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array("piece"))
     first = members.select("cluster", F.explode(tasks).alias("task"), "cls", F.col("cls").alias("root"), "held")
-    links = scratch.keep(first.groupBy("cluster", "task").applyInPandas(blockwise(percent, False), "a long, b long"))
+    links = scratch.keep(spread(first, "cluster", "task").groupBy("cluster", "task").applyInPandas(blockwise(percent, False), "a long, b long"))
     # In clusters of several pieces, what isn't in the largest group meets every piece.
     wide = members.where("of > 1")
     if wide.limit(1).count():
         so_far = components(links, scratch)
         rooted = scratch.keep(wide.join(so_far, wide["cls"] == so_far["node"], "left").select(*wide.columns, F.coalesce("root", "cls").alias("root")))
         most = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+        rooted = rooted.withColumn("band", band(F.length("held") / 8, percent))
         rest = rooted.join(most, "cluster").where("root <> main and piece > 0").drop("main")
-        parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("parts"))
-        rest = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("cls", F.lit("part")), "parts"))
-        asked = rest.select("cluster", F.explode(F.sequence(F.lit(1), F.col("of") - 1)).alias("piece"), "part", "cls", "root", "held", F.lit(True).alias("asked"))
-        others = rooted.where("piece > 0").join(parts, "cluster").select("cluster", "piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "root", "held", F.lit(False).alias("asked"))
+        near_bands = rest.select("*", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("other"))
+        # The rest of three bands is dealt to parts, and what is in a band with rows that were asked to its own pieces.
+        parts = near_bands.groupBy("cluster", F.col("other").alias("band")).agg(F.ceil(F.count("*") / PIECE).cast("long").alias("parts"))
+        others = rooted.where("piece > 0").join(parts, ["cluster", "band"])
+        whole = others.groupBy("cluster", "band").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
+        dealing = scratch.keep(parts.join(whole, ["cluster", "band"]))
+        others = rooted.where("piece > 0").join(dealing, ["cluster", "band"]).withColumn("piece", F.pmod(F.xxhash64("cls", F.lit("piece")), "pieces"))
+        others = others.select("cluster", "band", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "root", "held", F.lit(False).alias("asked"))
+        asked = near_bands.drop("band").withColumnRenamed("other", "band").join(dealing, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("cls", F.lit("part")), "parts"))
+        asked = asked.select("cluster", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "part", "cls", "root", "held", F.lit(True).alias("asked"))
         both = asked.unionByName(others)
-        more = both.groupBy("cluster", "piece", "part").applyInPandas(blockwise_asked(percent), "a long, b long")
+        more = spread(both, "cluster", "band", "piece", "part").groupBy("cluster", "band", "piece", "part").applyInPandas(blockwise_asked(percent), "a long, b long")
         links = links.union(scratch.keep(more))
     known = reps.select("cls", "rep")
     ends = links.join(known.withColumnsRenamed({"cls": "a", "rep": "ra"}), "a").join(known.withColumnsRenamed({"cls": "b", "rep": "rb"}), "b")
