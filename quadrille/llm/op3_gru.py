@@ -5,9 +5,10 @@ predicted by one softmax, the words of a class by another. All other words belon
 likewise; within such a class a word has its share of the training counts (plus one, with one place for words never seen). So
 every text has a probability under one law.
 
-Training is by truncated backpropagation: windows of token streams, with the state carried from one to the next. Each task
-trains on its part of the sample, which is a fixed part of all training documents and grows with them; weights are averaged,
-by tokens, after each round. The network starts from the counts, so that without any training it is a unigram model.
+Training is by truncated backpropagation: windows of token streams, with the state carried from one to the next. Every
+training document is learned from, at any size of the input, in one of the rounds; each task trains on its part of a round's
+documents, and weights are averaged, by tokens, after each round. The network starts from the counts, so that without any
+training it is a unigram model.
 
 Scoring runs through each whole document, window by window, with the state carried on, many documents side by side. Words that
 aren't in the bounded table that all tasks hold meet the counts by a join.
@@ -36,8 +37,8 @@ from .textvec import Words, mixed, pieces
 HEADS, EACH, TAILS, EMBED, STATE = 32, 48, 32, 24, 32
 #: Words that each task holds at most.
 MAX_HELD = 200_000
-#: Part of the training documents that the network learns from, or as many as have about so many tokens; rounds; streams and steps of a window.
-PART, AT_LEAST, ROUNDS, LANES, STEPS, RATE = 1 / 16, 4_000_000, 2, 128, 32, 0.004
+#: Rounds, among which all training documents are dealt; streams and steps of a window; rate of learning.
+ROUNDS, LANES, STEPS, RATE = 2, 128, 32, 0.004
 #: Tokens of which a task counts the distinct ones before it passes counts on; bytes of text that are scored side by side.
 COUNTED, ABREAST = 4_000_000, 12 << 20
 #: Hash of the end token.
@@ -80,7 +81,9 @@ def class_of(token: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    e = np.exp(-x)
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -> tuple[np.ndarray, np.ndarray | None, Weights]:
@@ -98,7 +101,7 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
         e[rows, cls] -= 1
         g = {"wc": h.T @ e, "bc": e.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
         dh = e @ m["wc"].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     cut = np.searchsorted(cls[order], np.arange(HEADS + 1))
     for k in range(HEADS):
         at = order[cut[k] : cut[k + 1]]
@@ -120,42 +123,51 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
 
 
 def train(m: Weights, stream: np.ndarray, rate: float = RATE) -> Weights:
-    """Adam over windows of the stream of tokens, which is cut in lanes side by side."""
-    lanes = int(np.clip(len(stream) // (4 * STEPS), 1, LANES))
-    length = len(stream) // lanes
-    if length < 2:
+    """Adam over windows of the stream of tokens, which is cut in lanes side by side; each token but the first is predicted.
+
+    Lanes of like length begin at even distances, so the last ones may overlap by a few tokens.
+    """
+    n = len(stream) - 1
+    if n < 1:
         return m
+    lanes = int(np.clip(n // (4 * STEPS), 1, LANES))
+    length = -(-n // lanes)
+    first_of = np.linspace(0, n - length, lanes).astype(np.int64)
     m = {k: v.copy() for k, v in m.items()}
-    lane = stream[: lanes * length].reshape(lanes, length).astype(np.int64)
     mean, square = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     state = np.zeros((lanes, STATE), np.float32)
     s = STATE
-    for step, begin in enumerate(range(0, length - 1, STEPS), 1):
-        x, y = lane[:, begin : min(begin + STEPS, length - 1)].T, lane[:, begin + 1 : min(begin + STEPS, length - 1) + 1].T
+    for step, begin in enumerate(range(0, length, STEPS), 1):
+        at = first_of + np.arange(begin, min(begin + STEPS, length))[:, None]
+        x, y = stream[at], stream[at + 1].astype(np.int64)
+        live = (x != END)[:, :, None].astype(np.float32)  # a document starts anew
         gates = (m["embed"] @ m["wx"] + m["b"])[x]
-        saved, hs = [], np.empty((len(x), lanes, STATE), np.float32)
+        old, new = np.empty((2, *x.shape, s), np.float32)
+        zr, un = np.empty((*x.shape, 2 * s), np.float32), np.empty((*x.shape, s), np.float32)
+        cand = np.empty_like(un)
         for t in range(len(x)):
-            state = state * (x[t] != END)[:, None]  # a document starts anew
-            u = state @ m["wh"]
-            zr = sigmoid(gates[t][:, : 2 * s] + u[:, : 2 * s])
-            z, r = zr[:, :s], zr[:, s:]
-            n = np.tanh(gates[t][:, 2 * s :] + r * u[:, 2 * s :])
-            saved.append((state, z, r, n, u[:, 2 * s :]))
-            state = (1 - z) * n + z * state
-            hs[t] = state
-        _, dh, g = outputs(hs.reshape(-1, s), y.reshape(-1), m, True)
-        dh = dh.reshape(hs.shape)
-        dg, later, g_wh = np.empty_like(gates), np.zeros((lanes, s), np.float32), np.zeros_like(m["wh"])
+            np.multiply(state, live[t], out=old[t])
+            u = old[t] @ m["wh"]
+            un[t] = u[:, 2 * s :]
+            zr[t] = sigmoid(gates[t][:, : 2 * s] + u[:, : 2 * s])
+            np.tanh(gates[t][:, 2 * s :] + zr[t][:, s:] * un[t], out=cand[t])
+            state = np.add(cand[t], zr[t][:, :s] * (old[t] - cand[t]), out=new[t])
+        _, dh, g = outputs(new.reshape(-1, s), y.reshape(-1), m, True)
+        dh = dh.reshape(new.shape)
+        z, r = zr[:, :, :s], zr[:, :, s:]
+        by_n = (1 - z) * (1 - cand * cand)
+        by_z, by_r = (old - cand) * z * (1 - z), un * r * (1 - r)
+        dg, du, later, back = np.empty_like(gates), np.empty_like(gates), np.zeros((lanes, s), np.float32), np.ascontiguousarray(m["wh"].T)
         for t in range(len(x) - 1, -1, -1):
-            old, z, r, n, un = saved[t]
             d = dh[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (old - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dg[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            g_wh += old.T @ du
-            later = (d * z + du @ m["wh"].T) * (x[t] != END)[:, None]
+            dn = d * by_n[t]
+            np.multiply(d, by_z[t], out=du[t][:, :s])
+            np.multiply(dn, by_r[t], out=du[t][:, s : 2 * s])
+            np.multiply(dn, r[t], out=du[t][:, 2 * s :])
+            dg[t][:, 2 * s :] = dn
+            later = (d * z[t] + du[t] @ back) * live[t]
+        dg[:, :, : 2 * s] = du[:, :, : 2 * s]
+        g_wh = old.reshape(-1, s).T @ du.reshape(-1, 3 * s)
         flat, dg = x.reshape(-1), dg.reshape(-1, 3 * s)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
@@ -300,8 +312,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
 
 
 def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scratch: Scratch) -> Weights:
-    """Weights after the rounds. A task's tokens are its part of a fixed part of the documents."""
-    part = min(1.0, max(PART, AT_LEAST / max(v.tokens, 1)))
+    """Weights after the rounds. Each document is learned from in one of them; a task's tokens are its part of a round's documents."""
     known = spark.sparkContext.broadcast(vars(v))
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(m)
@@ -317,8 +328,7 @@ def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scr
                 new = train(now.value, stream, RATE / (turn + 1))
                 yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "tokens": [len(stream)], "weights": pa.array([packed(new)], pa.binary())})
 
-        lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-        mine = docs.where((lot >= turn * part / ROUNDS) & (lot < (turn + 1) * part / ROUNDS)).select(F.col("text").cast("binary").alias("text"))
+        mine = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == turn).select(F.col("text").cast("binary").alias("text"))
         each = scratch.keep(mine.mapInArrow(run, "task long, tokens long, weights binary"))
         groups = int(max(1, each.count()) ** 0.5)
 

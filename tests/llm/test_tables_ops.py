@@ -1,5 +1,6 @@
 """Decontamination, the language model, line rules, mixing: plain versions, odd rows."""
 
+import dataclasses
 import math
 import random
 from collections import Counter, defaultdict
@@ -164,6 +165,32 @@ def test_training_learns_an_order():
     assert after > 0.3 * before
 
 
+def test_training_learns_from_every_token(spark, monkeypatch):
+    """However many training tokens there are, told as a thousand times as many here."""
+    rows = table(spark, SF, "documents").select("doc_id", "text")
+    v, class_log, word_log = op3.vocabulary(op3.count_tokens(rows).cache())
+    learned, averaged = [], op3.averaged
+
+    def seen(pdf):
+        learned.append(int(pdf["tokens"].sum()))
+        return averaged(pdf)
+
+    monkeypatch.setattr(op3, "averaged", seen)
+    op3.trained(spark, rows, dataclasses.replace(v, tokens=1000 * v.tokens), op3.fresh(class_log, word_log), Scratch(spark, "test-training"))
+    assert len(learned) == op3.ROUNDS and sum(learned) >= v.tokens
+
+
+@pytest.mark.parametrize("n", [2, 130, 300, 4500])
+def test_training_predicts_every_token(monkeypatch, n):
+    """Each token of a stream but the first, also where the lanes don't come out even."""
+    told, outputs = [], op3.outputs
+    monkeypatch.setattr(op3, "outputs", lambda h, target, *more: told.append(target) or outputs(h, target, *more))
+    stream = np.arange(n) % op3.END
+    op3.train(op3.fresh(np.zeros(op3.CLASSES), np.zeros((op3.HEADS, op3.EACH))), stream.astype(np.int16))
+    got = Counter(np.concatenate(told).tolist())
+    assert all(got[t] >= c for t, c in Counter(stream[1:].tolist()).items())
+
+
 # Line rules
 
 
