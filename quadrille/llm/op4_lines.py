@@ -1,10 +1,10 @@
 """Quality rules by cross-document line frequency, in DataFrame expressions only.
 
 One pass over the texts measures each document and hashes its lines, normalised: lower-cased, blanks trimmed and joined. Lines
-are counted by the distinct documents of their host (the source) that hold them. Documents count as one if they are copies: a
-document's identity is its smallest hash of an eight-word window, which copies and most near copies share, so that a text that
-was copied often doesn't make its own lines frequent. A line in more documents than both limits is removed; a document that
-loses more than a limit of its text so is depleted and rejected.
+are counted by the distinct documents of their host (the source) that hold them. Documents of the same text count as one (a
+document's identity is a hash of its whole text), so that a text that was copied often doesn't make its own lines frequent; near
+copies are distinct documents. A line in more documents than both limits is removed; a document that loses more than a limit of
+its text so is depleted and rejected.
 
 Null and empty texts: all measures 0, base_failed, not kept. Null hosts are one host. Null doc_id: judged like others. Repeated
 rows: alike, one result each, counted as one document. Blank lines are neither counted nor removed. Other columns aren't read.
@@ -47,12 +47,12 @@ def measured(docs: DataFrame) -> DataFrame:
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
     rows = rows.select(
         "doc_id", "host", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("windows"), F.xxhash64("w").alias("whole"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("windows"), F.xxhash64("text").alias("identity"),
         F.transform("l", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))).alias("lines"),
     )
     some = F.size(F.array_distinct("windows")) < F.size("windows")
     pairs = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("identity", F.coalesce(F.array_min("windows"), "whole")).withColumn("sorted", F.when(some, pairs)).drop("windows", "whole")
+    rows = rows.withColumn("sorted", F.when(some, pairs)).drop("windows")
     rows = rows.withColumn("places", F.sort_array(F.transform(_covered(F.col("sorted")), lambda x: x["i"]))).drop("sorted")
     spans = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)

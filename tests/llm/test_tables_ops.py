@@ -269,6 +269,19 @@ def test_cleaned(spark):
     assert {r["text"] for r in got if r["doc_id"] in [c[0] for c in clean]} <= {c[1] for c in clean}
 
 
+def test_pages_around_one_passage_are_distinct_documents(spark):
+    """Their smallest window is mostly one of the passage, yet they are all different texts."""
+    r = random.Random(7)
+    prose = lambda n: " ".join(f"w{r.randrange(30_000)}" for _ in range(n))
+    shared = prose(300)
+    rows = [(i, shared + "\n" + prose(12), "en", "a") for i in range(100)]
+    copied = prose(60)
+    rows += [(1000 + i, copied, "en", "b") for i in range(100)]  # one document
+    got = {r["doc_id"]: r for r in op4.rules(spark, docs(spark, rows)).collect()}
+    assert all(got[i]["removed_lines"] == 1 and not got[i]["kept"] for i in range(100))
+    assert all(got[1000 + i]["removed_lines"] == 0 and got[1000 + i]["kept"] for i in range(100))
+
+
 # Mixing
 
 
