@@ -3,8 +3,8 @@
 One pass over the texts measures each document and hashes its lines, normalised: lower-cased, blanks trimmed and joined. Lines
 are counted by the distinct documents of their host (the source) that hold them. Documents of the same text count as one (a
 document's identity is a hash of its whole text), so that a text that was copied often doesn't make its own lines frequent; near
-copies are distinct documents. A line in more documents than both limits is removed; a document that loses more than a limit of
-its text so is depleted and rejected.
+copies are distinct documents. A line in more documents than both limits is removed, and so is a long line in more documents
+than an absolute limit, however large the host; a document that loses more than a limit of its text so is depleted and rejected.
 
 Null and empty texts: all measures 0, base_failed, not kept. Null hosts are one host. Null doc_id: judged like others. Repeated
 rows: alike, one result each, counted as one document. Blank lines are neither counted nor removed. Other columns aren't read.
@@ -21,6 +21,8 @@ WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: A line is frequent in more documents of its host than both; a document is depleted if it keeps less than this part.
 MIN_DOCS, DOC_SHARE, KEPT = 20, 0.02, 0.2
+#: A line of so many characters is frequent in more documents of its host than this, whatever their share.
+LONG, MOST_DOCS = 100, 1000
 #: Frequent lines, of all hosts, that are told to all tasks; beyond, hosts' lists are dealt under salts.
 MAX_TOLD, SALTS = 500_000, 32
 
@@ -60,11 +62,12 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
-    """host, line: hashes of lines above the limits. They are at most 1 / DOC_SHARE times the mean lines of a document, for each host."""
+    """host, line: hashes of lines above the limits. For each host, they are at most 1 / DOC_SHARE times the mean lines of a document, and long lines at most the host's lines / MOST_DOCS."""
     hosts = rows.groupBy("host").agg(F.countDistinct("identity").alias("docs")).withColumnRenamed("host", "of_host")
-    each = rows.select("host", "identity", F.explode(F.array_distinct("lines.h")).alias("line"))
-    found = each.groupBy("host", "line").agg(F.countDistinct("identity").alias("held_by")).where(F.col("held_by") > MIN_DOCS)
-    return found.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("held_by") > DOC_SHARE * F.col("docs")).select("host", "line")
+    each = rows.select("host", "identity", F.explode(F.array_distinct("lines")).alias("line")).select("host", "identity", F.col("line.h").alias("line"), F.col("line.n").alias("n"))
+    found = each.groupBy("host", "line").agg(F.countDistinct("identity").alias("held_by"), F.max("n").alias("n")).where(F.col("held_by") > MIN_DOCS)
+    often = (F.col("n") >= LONG) & (F.col("held_by") > MOST_DOCS)
+    return found.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where((F.col("held_by") > DOC_SHARE * F.col("docs")) | often).select("host", "line")
 
 
 def with_frequent(rows: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -282,6 +282,17 @@ def test_pages_around_one_passage_are_distinct_documents(spark):
     assert all(got[1000 + i]["removed_lines"] == 0 and got[1000 + i]["kept"] for i in range(100))
 
 
+def test_long_lines_of_a_large_host(spark, monkeypatch):
+    """In under 2 % of the host's documents, but in more than the absolute limit."""
+    monkeypatch.setattr(op4, "MOST_DOCS", 25, raising=False)
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(30_000)}" for _ in range(n))
+    long, short = prose(40), prose(3)
+    rows = [(i, prose(22) + (f"\n{long}\n{short}" if i < 30 else ""), "en", "a") for i in range(2000)]
+    got = {r["doc_id"]: r["removed_lines"] for r in op4.rules(spark, docs(spark, rows)).collect()}
+    assert got == {i: int(i < 30) for i in range(2000)}
+
+
 # Mixing
 
 
