@@ -2,10 +2,12 @@
 
 1. Documents with the same set of word shingles are one class.
 2. Blocks. In an order that all sets share, two sets of similarity t have l of the first n - ceil(t n) + l shingles of each in
-   common; l is a twentieth of the smallest size that can be linked with n. The order puts the shingles that a first pass saw often
+   common; l is a tenth of the smallest size that can be linked with n. The order puts the shingles that a first pass saw often
    last (this only saves work, any order finds all links), then goes by hash. Classes that share fewer than l of their first
    shingles with any others have no link and go. Of the rest, those that share one and are of sizes that can be linked are brought
    together in clusters, through links to one class of each block; blocks of frequent shingles are dealt under salts first.
+   Clusters of more than a piece are divided by the same rule with another order and shingles of the same cluster only: chance
+   meetings that chained their parts together are fewer among fewer classes. This is done again while it helps.
 3. In a cluster, shingles are hashed into groups; a class is the point of its group counts. An R-tree over the points bounds the
    overlap of a set with all sets of a box by the sum over groups of the smaller of its count and the box's upper count; what the
    bound and the sizes leave is verified by exact intersection. Pairs that are connected already are skipped. Large clusters are
@@ -13,7 +15,8 @@
 4. Connected components of the links, by smallest doc_id.
 
 Null and empty texts: no shingles, linked with nothing. Null doc_id: a component_id of null, linked with nothing. Rows that repeat
-a doc_id with the same text: alike; with other texts: one result each. Only doc_id and text are read.
+a doc_id with the same text: alike, and their set is sent once by a task; with other texts: one result each. A very long text is
+one set, which one task holds. Empty tables: no rows. Only doc_id and text are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ from .common import Scratch, broadcast_if, small_batches
 from .components import components
 from .textvec import PLAIN, Words, mixed, pieces, shingles
 
-#: Groups of a count vector; points of a leaf and boxes of a node.
+#: Groups of a count vector at least (larger sets have more, so that a group holds few shingles); points of a leaf and boxes of a node.
 GROUPS, LEAF = 128, 8
-#: Classes of a piece of a cluster.
-PIECE = 512
-#: A shingle is frequent if a task sees it in so many sets of one pass over this many shingles; those kept at most; salts of a frequent shingle's block.
-OFTEN, SEEN, MAX_FREQUENT, SALTS = 12, 4_000_000, 500_000, 32
+#: Classes and shingles of a piece of a cluster, about.
+PIECE, PIECE_SHINGLES = 512, 1 << 19
+#: A task tells the shingles that it sees in so many sets of one pass over this many shingles; those seen so often in all are frequent; those kept at most; salts of a frequent shingle's block.
+TOLD_FROM, SEEN, OFTEN, MAX_FREQUENT, SALTS = 3, 4_000_000, 12, 500_000, 32
+#: First shingles in common: this part of the smallest size that can be linked.
+COMMON = 10
+#: Times that large clusters are divided at most, and the part of their classes that may be left for it to have helped.
+DIVISIONS, HELPED = 4, 0.8
 #: Documents of clusters that are told to all tasks; more are joined by shuffle.
 MAX_TOLD = 1_000_000
 
@@ -59,13 +66,15 @@ def digest(s: np.ndarray) -> int:
 
 def in_common(n: int, percent: int) -> int:
     """First shingles that a set of n must have in common with any set linked to it."""
-    return max(1, needed(n, percent) // 20)
+    return max(1, needed(n, percent) // COMMON)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the common order, and which of them are frequent."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order of this turn, and which of them are frequent."""
+    if turn:
+        s = s[np.argsort(mixed(s ^ np.uint64(turn * 0x9E3779B1)), kind="stable")]
     often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[: len(s) - needed(len(s), percent) + max(1, len(s) // 20)]
+    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[: len(s) - needed(len(s), percent) + max(1, len(s) // COMMON)]
     return s[order], often[order]
 
 
@@ -118,14 +127,19 @@ class Tree:
         return self.order[at[at < len(self.order)]]
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount(mixed(s ^ np.uint64(0x5DEECE66D)) >> np.uint64(65 - GROUPS.bit_length()), minlength=GROUPS).astype(np.int32)
+def counts(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount(mixed(s ^ np.uint64(0x5DEECE66D)) >> np.uint64(65 - groups.bit_length()), minlength=groups).astype(np.int32)
+
+
+def groups_for(sizes: np.ndarray) -> int:
+    """A power of two: about four shingles of the larger sets for a group, so that the bound tells sets of chance overlap from similar ones."""
+    return int(np.clip(1 << int(np.quantile(sizes, 0.9) / 4).bit_length(), GROUPS, 8192))
 
 
 def connected(sets: list[np.ndarray], group: np.ndarray, percent: int, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what similarity connects. group: what is connected already (equal numbers); ask: only pairs with one of these places."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([counts(s) for s in sets])
+    points = np.stack([counts(s, groups_for(sizes)) for s in sets])
     tree = Tree(points, sizes)
     root = list(range(len(sets)))
 
@@ -168,9 +182,9 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
             value = np.concatenate(list(seen.values()) or [np.zeros(0, np.uint64)])
             seen.clear()
             value.sort()
-            last = max(0, len(value) - OFTEN + 1)
+            last = max(0, len(value) - TOLD_FROM + 1)
             begins = np.append(True, value[1:] != value[:-1])[:last]
-            value, at = value[:last][begins & (value[:last] == value[OFTEN - 1 :])], value
+            value, at = value[:last][begins & (value[:last] == value[TOLD_FROM - 1 :])], value
             n = np.searchsorted(at, value, "right") - np.searchsorted(at, value)
             return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "cls": value.view(np.int64), "often": n})
 
@@ -190,7 +204,7 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     table = scratch.keep(texts.mapInArrow(run, "doc_id long, n long, cls long, often long"))
-    top = table.where("often is not null").groupBy("cls").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "cls").limit(MAX_FREQUENT).select("cls").toPandas()
+    top = table.where("often is not null").groupBy("cls").agg(F.sum("often").alias("often")).where(F.col("often") >= OFTEN).orderBy(F.desc("often"), "cls").limit(MAX_FREQUENT).select("cls").toPandas()
     return table.where("often is null").drop("often"), np.sort(top["cls"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -259,23 +273,23 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "lo", "cls")
 
 
-def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """a, b: by these links, classes that may be linked are connected."""
-    known = spark.sparkContext.broadcast(frequent)
+def first_rows(sets: dict[int, np.ndarray], frequent: np.ndarray, percent: int, turn: int = 0, within: list[int] | None = None) -> pa.RecordBatch | None:
+    """Rows of the first shingles of classes; within: the cluster of each, which alone its shingles meet in."""
+    firsts = [prefix(s, frequent, percent, turn) for s in sets.values()]
+    if not firsts:
+        return None
+    length = [len(f) for f, _ in firsts]
+    cls, n = np.repeat(np.array(list(sets), np.int64), length), np.repeat([len(s) for s in sets.values()], length)
+    often, value = np.concatenate([o for _, o in firsts]), np.concatenate([f for f, _ in firsts])
+    if within is not None:
+        value = mixed(value ^ np.repeat(np.array(within, np.int64).view(np.uint64), length) * np.uint64(0x9E3779B97F4A7C15))
+    return _rows(np.stack([value.view(np.int64), np.where(often, 1 + cls % SALTS, 0), cls, n, n]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in pieces(batch):
-                own = {digest(s): s for s in sets_of(texts, k) if len(s)}
-                firsts = [prefix(s, known.value, percent) for s in own.values()]
-                if firsts:
-                    length = [len(f) for f, _ in firsts]
-                    cls, n = np.repeat(np.array(list(own), np.int64), length), np.repeat([len(s) for s in own.values()], length)
-                    often = np.concatenate([o for _, o in firsts])
-                    yield _rows(np.stack([np.concatenate([f for f, _ in firsts]).view(np.int64), np.where(often, 1 + cls % SALTS, 0), cls, n, n]))
-
-    rows = scratch.keep(dealt(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, ROW)).mapInArrow(shared, ROW))
-    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / 20))
+
+def hooked(firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: by these links, classes that may be linked are connected. firsts: first_rows()."""
+    rows = scratch.keep(dealt(firsts).mapInArrow(shared, ROW))
+    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / COMMON))
     for turn in range(2):
         enough = rows.groupBy("cls").agg(F.count("*").alias("shared"), F.max("lo").alias("n")).where(F.col("shared") >= least).select("cls")
         rest = rows.join(enough, "cls", "left_semi").select("shingle", "salt", "cls", "lo", "hi")
@@ -290,6 +304,61 @@ def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequen
     return links
 
 
+def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
+    """node, root: the cluster of each class that may be linked with another."""
+    known = spark.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes that this task has told, the last so many
+        for batch in batches:
+            for _, texts in pieces(batch):
+                own = {c: s for c, s in ((digest(s), s) for s in sets_of(texts, k) if len(s)) if c not in seen}
+                seen = seen | own.keys() if len(seen) < 500_000 else set(own)
+                if (rows := first_rows(own, known.value, percent)) is not None:
+                    yield rows
+
+    links = hooked(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, ROW), percent, scratch)
+    found = components(links, scratch)
+    scratch.drop(links)
+    return found
+
+
+MEMBER = "cls long, cluster long, held binary"
+
+
+def divided(spark: SparkSession, members: DataFrame, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
+    """members (cls, cluster, held) with large clusters divided into those that first shingles in other orders connect; classes that then have no cluster go."""
+    known = spark.sparkContext.broadcast(frequent)
+    done: DataFrame | None = None
+    for turn in range(1, DIVISIONS + 1):
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("held") / 8).alias("shingles"))
+        large = scratch.keep(sizes.where((F.col("n") > PIECE) | (F.col("shingles") > PIECE_SHINGLES)))
+        before = large.agg(F.sum("n")).first()[0]
+        if not before:
+            break
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 256):
+                    part = batch.slice(begin, 256)
+                    own = {c: np.frombuffer(s, "<u8") for c, s in zip(part.column("cls").to_pylist(), part.column("held").to_pylist())}
+                    of = dict(zip(part.column("cls").to_pylist(), part.column("cluster").to_pylist()))
+                    if (rows := first_rows(own, known.value, percent, turn, [of[c] for c in own])) is not None:
+                        yield rows
+
+        some = members.join(broadcast_if(large.select("cluster"), MAX_TOLD), "cluster").select("cls", "cluster", "held")
+        links = hooked(some.mapInArrow(run, ROW), percent, scratch)
+        found = scratch.keep(components(links, scratch).select(F.col("node").alias("cls"), F.col("root").alias("new")))
+        parts = some.join(broadcast_if(found, MAX_TOLD), "cls").select("cls", F.col("new").alias("cluster"), "held")
+        small = members.join(broadcast_if(large.select("cluster"), MAX_TOLD), "cluster", "left_anti").select("cls", "cluster", "held")
+        done = small if done is None else done.union(small)
+        members = scratch.keep(parts)
+        left = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("held") / 8).alias("shingles")).where((F.col("n") > PIECE) | (F.col("shingles") > PIECE_SHINGLES)).agg(F.sum("n")).first()[0]
+        if (left or 0) > HELPED * before:
+            break
+    return members if done is None else done.union(members)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Few bytes, much work: partitions by keys that aren't put together again for their small size."""
     return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -316,40 +385,45 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     table, frequent = class_table(docs, k, scratch)
-    near = components(clusters(spark, docs, k, percent, frequent, scratch), scratch)  # node: cls, root: its cluster
-    reps = table.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    size = near.groupBy("root").agg(F.count("*").alias("members"))
-    told = near.join(size, "root").join(reps, near["node"] == reps["cls"])
-    told = scratch.keep(told.select("rep", "cls", F.col("root").alias("cluster"), F.ceil(F.col("members") / PIECE).cast("long").alias("of")).withColumn("piece", F.pmod(F.xxhash64("cls"), "of")))
+    near = clusters(spark, docs, k, percent, frequent, scratch)  # node: cls, root: its cluster
+    reps = scratch.keep(table.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    told = scratch.keep(near.join(reps, near["node"] == reps["cls"]).select("rep", "cls", F.col("root").alias("cluster")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a repeated row's set is sent once
         for batch in batches:
             for part, texts in pieces(batch):
-                sets = sets_of(texts, k)
-                same = pa.array([digest(s) == c if len(s) else False for s, c in zip(sets, part.column("cls").to_pylist())], pa.bool_())
-                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cls", "cluster", "of", "piece")), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "cluster", "of", "piece", "held"])
-                yield out.filter(same)
+                sets, cls = sets_of(texts, k), part.column("cls").to_pylist()
+                own = {c: i for i, (s, c) in enumerate(zip(sets, cls)) if c not in seen and len(s) and digest(s) == c}
+                seen |= own.keys()
+                at = pa.array(own.values(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("cls").take(at), part.column("cluster").take(at), pa.array([sets[i].tobytes() for i in own.values()], pa.binary())], ["cls", "cluster", "held"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    some = texts.join(broadcast_if(told, MAX_TOLD), texts["doc_id"] == told["rep"]).select("text", "cls", "cluster", "of", "piece")
-    members = scratch.keep(some.mapInArrow(fetch, "cls long, cluster long, of long, piece long, held binary"))
+    some = texts.join(broadcast_if(told, MAX_TOLD), texts["doc_id"] == told["rep"]).select("text", "cls", "cluster")
+    fetched = scratch.keep(some.mapInArrow(fetch, MEMBER))
+    members = divided(spark, fetched, percent, frequent, scratch)
+    size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("held") / 8).alias("shingles"))
+    of = scratch.keep(size.where("n > 1").select("cluster", F.ceil(F.greatest(F.col("n") / PIECE, F.col("shingles") / PIECE_SHINGLES)).cast("long").alias("of")))
+    members = members.join(broadcast_if(of, MAX_TOLD), "cluster").withColumn("piece", F.pmod(F.xxhash64("cls"), "of")).select("cls", "cluster", "of", "piece", "held")
     # Each piece with itself and with the first piece.
     tasks = F.when(F.col("piece") == 0, F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array("piece"))
     first = members.select("cluster", F.explode(tasks).alias("task"), "cls", F.col("cls").alias("root"), "held")
     links = scratch.keep(spread(first, "cluster", "task").groupBy("cluster", "task").applyInPandas(blockwise(percent, False), "a long, b long"))
     # In clusters of several pieces, what isn't in the largest group meets every piece.
     wide = members.where("of > 1")
-    if wide.limit(1).count():
+    if of.where("of > 1").limit(1).count():
         so_far = components(links, scratch)
-        rooted = scratch.keep(wide.join(so_far, wide["cls"] == so_far["node"], "left").select(*wide.columns, F.coalesce("root", "cls").alias("root")))
-        most = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
-        rooted = rooted.withColumn("band", band(F.length("held") / 8, percent))
+        with_roots = scratch.keep(wide.join(so_far, wide["cls"] == so_far["node"], "left").select(*wide.columns, F.coalesce("root", "cls").alias("root")))
+        most = with_roots.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+        rooted = with_roots.withColumn("band", band(F.length("held") / 8, percent))
         rest = rooted.join(most, "cluster").where("root <> main and piece > 0").drop("main")
         near_bands = rest.select("*", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("other"))
         # The rest of three bands is dealt to parts, and what is in a band with rows that were asked to its own pieces.
-        parts = near_bands.groupBy("cluster", F.col("other").alias("band")).agg(F.ceil(F.count("*") / PIECE).cast("long").alias("parts"))
+        count = F.ceil(F.greatest(F.count("*") / PIECE, F.sum(F.length("held") / 8) / PIECE_SHINGLES)).cast("long")
+        parts = near_bands.groupBy("cluster", F.col("other").alias("band")).agg(count.alias("parts"))
         others = rooted.where("piece > 0").join(parts, ["cluster", "band"])
-        whole = others.groupBy("cluster", "band").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
+        whole = others.groupBy("cluster", "band").agg(count.alias("pieces"))
         dealing = scratch.keep(parts.join(whole, ["cluster", "band"]))
         others = rooted.where("piece > 0").join(dealing, ["cluster", "band"]).withColumn("piece", F.pmod(F.xxhash64("cls", F.lit("piece")), "pieces"))
         others = others.select("cluster", "band", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "root", "held", F.lit(False).alias("asked"))
@@ -357,13 +431,16 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         asked = asked.select("cluster", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "part", "cls", "root", "held", F.lit(True).alias("asked"))
         both = asked.unionByName(others)
         more = spread(both, "cluster", "band", "piece", "part").groupBy("cluster", "band", "piece", "part").applyInPandas(blockwise_asked(percent), "a long, b long")
-        links = links.union(scratch.keep(more))
+        more = scratch.keep(more)
+        scratch.drop(with_roots, dealing)
+        links = links.union(more)
     known = reps.select("cls", "rep")
     ends = links.join(known.withColumnsRenamed({"cls": "a", "rep": "ra"}), "a").join(known.withColumnsRenamed({"cls": "b", "rep": "rb"}), "b")
     found = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
     # A class of one document that is linked with no other needs no entry.
     entry = reps.join(found, reps["rep"] == found["node"], "left").where("root is not null or rows > 1").select("cls", "n", F.coalesce("root", "rep").alias("component"))
     entry = scratch.keep(entry)
+    scratch.drop(told, fetched, of, reps)
     return table.join(entry, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
@@ -373,15 +450,16 @@ def blockwise_asked(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, less those of a component other than of its smallest doc_id, and less repeated rows of that id. Rows without an id stay."""
+    """The rows of docs, all columns (of any names), less those of a component other than of its smallest doc_id, and less repeated rows of that id. Rows without an id stay; an empty table gives none."""
     scratch = Scratch(spark, "one-of-each")
     found = scratch.keep(component_table(spark, docs, k, percent).where("doc_id is not null"))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain, id_ = docs.toDF(*names), names[docs.columns.index("doc_id")]
     copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(broadcast_if(copies, 2_000_000), docs["doc_id"] == F.col("gone"), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again"))
-    again = scratch.keep(again)
+    rest = plain.join(broadcast_if(copies, 2_000_000), plain[id_] == F.col("gone"), "left_anti")
+    again = scratch.keep(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again")))
     if not again.limit(1).count():
-        return rest
+        return rest.toDF(*docs.columns)
     again = broadcast_if(again, 2_000_000)
-    once = rest.join(again, rest["doc_id"] == F.col("again"), "left_anti")
-    return once.union(rest.join(again, rest["doc_id"] == F.col("again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = rest.join(again, rest[id_] == F.col("again"), "left_anti")
+    return once.union(rest.join(again, rest[id_] == F.col("again"), "left_semi").dropDuplicates([id_])).toDF(*docs.columns)
