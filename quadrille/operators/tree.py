@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import as_box, box, hilbert_key, mbr, mbr_enlarge, mbr_of, point_box, rect_area, rect_enlargement, rect_intersection_area, rect_margin
+from ..functions.geometry import as_box, box, hilbert_key, mbr, mbr_of, rect_area, rect_intersection_area, rect_margin
 from ..plans.rank import ranked
 from ..plans.scratch import Scratch
 
@@ -87,31 +90,125 @@ def tree_dump(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return of_nodes.union(of_records)
 
 
+def write_dump(dump: DataFrame, path: str) -> None:
+    """The lines of tree_dump() as text, level by level, nodes in order, a leaf's records after it: files by name and lines in them are in that order."""
+    dump.orderBy("level", "node_id", F.col("record_id").asc_nulls_first()).select("line").write.text(path)
+
+
+def rect_order(boxes: DataFrame, scratch: Scratch, key: str = "id") -> DataFrame:
+    """boxes (key, bounds) with their places by the lower and the upper bound of each axis, ties by key."""
+    out = boxes
+    for axis in "xy":
+        for bound, end in (("lower", "min"), ("upper", "max")):
+            out = ranked(out, [f"{axis}{end}", key], scratch, f"{axis}_{bound}")
+    return out
+
+
 # Choice of a subtree
 
+#: Boxes that go to all tasks; beyond, points and boxes are dealt by parent, under salts.
+MAX_BOXES, SALTS = 200_000, 16
 
-def choose_subtree(spark: SparkSession, points: DataFrame, boxes: DataFrame, leaf_parents: bool = True) -> DataFrame:
-    """For each point the entry (id of boxes: node_id) of one node that it would go to.
 
-    Among parents of leaves: least growth of the overlap with the other boxes, then of the area, then least area, then node_id; else
-    without the first. A node's boxes are at most a block's entries; they go along as one array, so that a point stays one row.
-    """
-    held = boxes.select("node_id", as_box().alias("r"))
-    all_ = held.agg(F.sort_array(F.collect_list(F.struct("node_id", "r"))).alias("boxes"))
-    p = point_box(F.col("x"), F.col("y"))
+class Entries:
+    """Boxes of one node, in order of node_id."""
 
-    def cost(e: Column) -> Column:
-        grown = mbr_enlarge(e["r"], p)
-        terms = [F.round(rect_enlargement(e["r"], p), 9).alias("growth"), rect_area(e["r"]).alias("area"), e["node_id"].alias("node_id")]
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.b = ids[order], bounds[:, order]
+        self.area = (self.b[2] - self.b[0]) * (self.b[3] - self.b[1])
+
+    def best(self, x: np.ndarray, y: np.ndarray, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Entry and growth for each point; as many points at a time as keep the tables small."""
+        step = max(1, (1 << 19) // len(self.ids))
+        found = [self._best(x[i : i + step], y[i : i + step], leaf_parents) for i in range(0, len(x), step)]
+        return np.concatenate([f for f, _ in found]), np.concatenate([g for _, g in found])
+
+    def _best(self, x: np.ndarray, y: np.ndarray, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray]:
+        x0, y0, x1, y1 = self.b
+        grown = np.minimum(x0, x[:, None]), np.minimum(y0, y[:, None]), np.maximum(x1, x[:, None]), np.maximum(y1, y[:, None])
+        growth = np.round((grown[2] - grown[0]) * (grown[3] - grown[1]) - self.area, 9)
+        rows = np.arange(len(x))
+        at = np.where(growth == growth.min(1, keepdims=True), self.area, np.inf).argmin(1)
         if leaf_parents:
-            others = F.filter("boxes", lambda o: o["node_id"] != e["node_id"])
-            over = F.aggregate(others, F.lit(0.0), lambda s, o: s + (rect_intersection_area(grown, o["r"]) - rect_intersection_area(e["r"], o["r"])))
-            terms.insert(0, F.round(over, 9).alias("overlap"))
-        return F.struct(*terms)
-
-    if boxes.limit(inner_capacity() + 1).count() > inner_capacity():
-        raise ValueError("a node has no more entries than a block holds")
-    return points.join(F.broadcast(all_)).withColumn("best", F.array_min(F.transform("boxes", cost))).select("id", F.col("best.node_id").alias("node_id"), F.col("best.growth").alias("growth"))
+            # A box that holds the point overlaps the others no more than before: nothing is better. The rest are looked at one by one.
+            inside = (x0[at] <= x) & (x <= x1[at]) & (y0[at] <= y) & (y <= y1[at])
+            for i in np.flatnonzero(~inside):
+                at[i] = self._least_overlap(growth[i], [g[i] for g in grown])
+        return self.ids[at], growth[rows, at]
+
+    def _least_overlap(self, growth: np.ndarray, grown: list[np.ndarray]) -> int:
+        """The entry of least growth of overlap, then of area, then least area. In that order of the rest, the first without overlap is the best of all."""
+        x0, y0, x1, y1 = self.b
+        order = np.lexsort([self.ids, self.area, growth])
+        best, least = -1, np.inf
+        meet = lambda a, o: np.maximum(np.minimum(a[2][:, None], x1[o]) - np.maximum(a[0][:, None], x0[o]), 0) * np.maximum(np.minimum(a[3][:, None], y1[o]) - np.maximum(a[1][:, None], y0[o]), 0)
+        for begin in range(0, len(order), 64):
+            e = order[begin : begin + 64]
+            g, own = [v[e] for v in grown], [v[e] for v in self.b]
+            # Others that none of these grown boxes meets add nothing.
+            o = np.flatnonzero((x0 <= g[2].max()) & (x1 >= g[0].min()) & (y0 <= g[3].max()) & (y1 >= g[1].min()))
+            more = meet(g, o) - meet(own, o)
+            more[e[:, None] == o] = 0
+            more = np.round(more.sum(1), 9)
+            k = int(more.argmin())
+            if more[k] < least:
+                best, least = int(e[k]), more[k]
+            if least <= 0:
+                break
+        return best
+
+
+def _entries(rows: pd.DataFrame) -> dict[int, Entries]:
+    return {parent: Entries(g["node_id"].to_numpy(np.int64), g[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float).T) for parent, g in rows.groupby("parent_id")}
+
+
+def choose_subtree(spark: SparkSession, points: DataFrame, boxes: DataFrame, leaf_parents: bool = True) -> DataFrame:
+    """id, x, y, node_id, growth: for each point (id, x, y) the entry (node_id of boxes) that it would go to, of any number.
+
+    If points and boxes have a parent_id, of the entries of that node; points whose node has no entry go. Among parents of leaves:
+    least growth of the overlap with the node's other boxes, then of the area, then least area, then node_id; else without the first.
+    """
+    nodes = "parent_id" in boxes.columns
+    held = boxes.select((F.col("parent_id") if nodes else F.lit(0)).cast("long").alias("parent_id"), F.col("node_id").cast("long"), "xmin", "ymin", "xmax", "ymax").where("parent_id is not null")
+    asked = points.select("id", "x", "y", (F.col("parent_id") if nodes else F.lit(0)).cast("long").alias("parent_id"))
+    kind = points.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, x double, y double, node_id long, growth double"
+
+    def chosen(entries: dict[int, Entries], pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for parent, g in pdf.groupby("parent_id"):
+            if parent in entries:
+                ids, growth = entries[parent].best(g["x"].to_numpy(float), g["y"].to_numpy(float), leaf_parents)
+                yield g[["id", "x", "y"]].assign(node_id=ids, growth=growth)
+
+    if held.limit(MAX_BOXES + 1).count() <= MAX_BOXES:
+        known = spark.sparkContext.broadcast(held.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            entries = _entries(known.value)
+            for pdf in batches:
+                yield from chosen(entries, pdf)
+
+        return asked.mapInPandas(run, schema)
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = list(chosen(_entries(right), left))
+        return pd.concat(found) if found else left[["id", "x", "y"]].iloc[:0].assign(node_id=0, growth=0.0)
+
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    each = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.groupBy("parent_id", "salt").cogroup(each.groupBy("parent_id", "salt")).applyInPandas(both, schema)
+
+
+def descend(spark: SparkSession, points: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, x, y, leaf_id: for each point the leaf that it would go to, from the root down, a level at a time. nodes: tree_nodes()."""
+    deepest = nodes.agg(F.max("level").alias("d")).first()["d"] or 0
+    at = points.select("id", "x", "y", F.lit(0).cast("long").alias("parent_id"))
+    for level in range(1, deepest + 1):
+        entries = nodes.where(F.col("level") == level).select("parent_id", "node_id", "xmin", "ymin", "xmax", "ymax")
+        new = scratch.keep(choose_subtree(spark, at, entries, level == deepest))
+        at = new.select("id", "x", "y", F.col("node_id").alias("parent_id"))
+    return at.withColumnRenamed("parent_id", "leaf_id")
 
 
 # Splits

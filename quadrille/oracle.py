@@ -67,6 +67,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {"overlap, " if over
 SELECT id, node_id, round(growth, 7) AS growth FROM r WHERE k = 1"""
 
 
+def _descent(leaf: int, inner: int, levels: int = 7) -> str:
+    """Down from the root, a step for each level that there is."""
+    out = f"{_nodes(leaf, inner)},\ng AS (SELECT max(level) AS deepest FROM t),\ns0 AS (SELECT id, x * 1.125::DOUBLE - 2.0::DOUBLE AS x, y * 1.0625::DOUBLE - 60.0::DOUBLE AS y, 0::BIGINT AS node_id FROM {_P})"
+    for i in range(1, levels + 1):
+        out += f""",
+c{i} AS (
+  SELECT p.id, p.x, p.y, b.node_id, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS area,
+    round((greatest(b.xmax, p.x) - least(b.xmin, p.x)) * (greatest(b.ymax, p.y) - least(b.ymin, p.y)) - (b.xmax - b.xmin) * (b.ymax - b.ymin), 9) AS growth,
+    CASE WHEN g.deepest = {i} THEN round(coalesce((SELECT sum(
+      greatest(least(greatest(b.xmax, p.x), o.xmax) - greatest(least(b.xmin, p.x), o.xmin), 0.0) * greatest(least(greatest(b.ymax, p.y), o.ymax) - greatest(least(b.ymin, p.y), o.ymin), 0.0)
+      - greatest(least(b.xmax, o.xmax) - greatest(b.xmin, o.xmin), 0.0) * greatest(least(b.ymax, o.ymax) - greatest(b.ymin, o.ymin), 0.0))
+      FROM t o WHERE o.level = b.level AND o.parent_id = b.parent_id AND o.node_id <> b.node_id), 0), 9) ELSE 0 END AS overlap
+  FROM s{i - 1} p, t b, g WHERE b.level = {i} AND b.parent_id = p.node_id
+),
+s{i} AS (SELECT id, x, y, node_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap, growth, area, node_id) AS k FROM c{i}) WHERE k = 1)"""
+    return out + "\n" + " UNION ALL ".join(f"SELECT id, node_id AS leaf_id FROM s{i}, g WHERE g.deepest = {i}" for i in range(levels + 1))
+
+
 def _split(entries: str, sorts: dict[str, tuple[str, str]]) -> str:
     every = " UNION ALL ".join(
         f"""SELECT node_id, '{axis}' AS axis, '{name}' AS sort, row_number() OVER w AS cut, count(*) OVER (PARTITION BY node_id) AS n,
@@ -112,7 +130,7 @@ def sql(leaf: int, inner: int) -> dict[str, str]:
         "range_query_linear": in_box,
         "range_count": f"SELECT count(*) AS n FROM ({in_box})",
         "range_query_negative": f"SELECT * FROM {_C} WHERE x BETWEEN 2 AND 12 AND y BETWEEN -900 AND 1500",
-        "range_query_vectors": f"SELECT id FROM {_V} WHERE coords[1] BETWEEN -0.1 AND 0.1 AND coords[2] BETWEEN -0.1 AND 0.1 AND coords[3] BETWEEN -0.1 AND 0.2",
+        "range_query_vectors": f"SELECT id FROM {_V} WHERE list_min(coords) >= -0.3 AND list_max(coords) <= 0.3",
         "range_clustered": f"SELECT id, x, y FROM {_E} WHERE x BETWEEN 20 AND 60 AND y BETWEEN 5 AND 50",
         "point_lookup": f"SELECT * FROM {_P} WHERE x = 11 AND y = 900",
         "knn_query": knn_lines,
@@ -122,9 +140,10 @@ def sql(leaf: int, inner: int) -> dict[str, str]:
         "skyline_query": _skyline(_P, "*"),
         "skyline_events": _skyline(_E, "id, x, y"),
         "skyline_distinct": f"SELECT min(id) AS id, x, y FROM ({_skyline(_P, '*')}) GROUP BY x, y",
-        "skyline_antijoin": _skyline(_P, "*"),
+        "skyline_ordered": f"SELECT *, row_number() OVER (ORDER BY x DESC, id) - 1 AS rank FROM ({_skyline(_P, '*')})",
         "skyline_pruned": _skyline(_E, "id, x, y"),
-        "skyline_vectors": f"WITH v AS (SELECT id, {three} AS c FROM {_V}) SELECT id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.c[1] <= a.c[1] AND b.c[2] <= a.c[2] AND b.c[3] <= a.c[3] AND (b.c[1] < a.c[1] OR b.c[2] < a.c[2] OR b.c[3] < a.c[3]))",
+        "skyline_vectors": f"SELECT id FROM {_V} a WHERE NOT EXISTS (SELECT 1 FROM {_V} b WHERE list_bool_and(list_transform(list_zip(b.coords, a.coords), lambda t: t[1] <= t[2])) AND list_bool_or(list_transform(list_zip(b.coords, a.coords), lambda t: t[1] < t[2])))",
+        "skyline_space": "WITH v AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey * 7919 % 1009)::DOUBLE AS z FROM part) SELECT id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.x <= a.x AND b.y <= a.y AND b.z <= a.z AND (b.x < a.x OR b.y < a.y OR b.z < a.z))",
         "mbr_points": f"SELECT * FROM {_T}",
         "mbr_rects": f"SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM {_T}",
         "rect_area": f"SELECT event_type, {_AREA} AS area FROM {_T}",
@@ -136,7 +155,7 @@ def sql(leaf: int, inner: int) -> dict[str, str]:
         "mbr_enlarge": f"SELECT event_type, least(xmin, bxmin) AS xmin, least(ymin, bymin) AS ymin, greatest(xmax, bxmax) AS xmax, greatest(ymax, bymax) AS ymax FROM {_PAIRS}",
         "point_rect_mindist": f"SELECT event_type, sqrt(dx * dx + dy * dy) AS mindist FROM (SELECT event_type, greatest(xmin - 200.0, 0.0, 200.0 - xmax) AS dx, greatest(ymin + 10.0, 0.0, -10.0 - ymax) AS dy FROM {_T})",
         "sort_points": f"SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) - 1 AS rank FROM {_P}",
-        "sort_rects": f"SELECT event_type, (row_number() OVER (ORDER BY xmin, event_type))::INT AS by_lower, (row_number() OVER (ORDER BY xmax, event_type))::INT AS by_upper FROM {_T}",
+        "sort_rects": f"SELECT id, {', '.join(f'row_number() OVER (ORDER BY {a}{e}, id) - 1 AS {a}_{b}' for a in 'xy' for b, e in (('lower', 'min'), ('upper', 'max')))} FROM (SELECT x::BIGINT AS id, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM {_E} GROUP BY 1)",
         "hilbert_sort": f"{_HILBERT} SELECT id, hilbert_key, rank FROM k",
         "bulk_load_leaves": f"{_leaves(leaf)} SELECT leaf_id, count(*) AS entries, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM l GROUP BY leaf_id",
         "tree_leaf_records": f"{_leaves(leaf)} SELECT leaf_id, id, x, y FROM l",
@@ -148,6 +167,7 @@ UNION ALL SELECT (SELECT max(level) FROM t) AS level, leaf_id AS node_id, id AS
         "tree_height": f"WITH RECURSIVE b(block_bytes, leaf, inner_) AS (VALUES {heights}), w AS (SELECT b.*, (SELECT ceil(count(*) / leaf)::BIGINT FROM events) AS nodes, 0 AS height FROM b UNION ALL SELECT block_bytes, leaf, inner_, ceil(nodes / inner_)::BIGINT, height + 1 FROM w WHERE nodes > 1) SELECT block_bytes::BIGINT AS block_bytes, leaf::BIGINT AS leaf, inner_::BIGINT AS inner_, max(height)::BIGINT AS height FROM w GROUP BY 1, 2, 3",
         "choose_subtree": _choose(True),
         "choose_subtree_inner": _choose(False),
+        "choose_leaf": _descent(leaf, inner),
         "split_axis": f"{_split(_OVERFULL, _POINT_SORTS)} SELECT node_id, axis, round(margin, 2) AS margin FROM x",
         "split_leaf": f"{_split(_OVERFULL, _POINT_SORTS)} SELECT node_id, axis, sort, cut, overlap, area FROM f WHERE k = 1",
         "split_inner": f"{_split(_OVERFULL_INNER, _BOX_SORTS)} SELECT node_id, axis, sort, cut, overlap, area FROM f WHERE k = 1",
@@ -157,6 +177,17 @@ z AS (SELECT l.leaf_id, l.id, m.n, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy
 a AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY dist DESC, id) AS k FROM z)
 SELECT leaf_id, id, round(dist, 6) AS dist FROM a WHERE k <= floor(n * 0.3)""",
         "insert_record": f"SELECT id, x, y FROM {_P} UNION ALL SELECT 10000000, 3.5::DOUBLE, 950.25::DOUBLE",
+        "insert_named_record": "SELECT s_suppkey AS id, s_nationkey::DOUBLE AS x, s_acctbal AS y, s_suppkey + 1 AS node_id, s_name AS name FROM supplier UNION ALL SELECT 10000000, 3.5::DOUBLE, 950.25::DOUBLE, 77, 'new'",
+        # Records follow each other until one would not leave room for the end mark.
+        "block_slots": """
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS record_id, s_suppkey + 1 AS node_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS name, 26 + coalesce(strlen(CASE WHEN s_suppkey % 3 <> 0 THEN s_name END), 0) AS n FROM supplier),
+w AS (
+  SELECT record_id, node_id, name, 1 AS block, 0::BIGINT AS slot, n FROM r WHERE record_id = 0
+  UNION ALL
+  SELECT r.record_id, r.node_id, r.name, CASE WHEN w.slot + w.n + r.n + 2 >= 512 THEN w.block + 1 ELSE w.block END, CASE WHEN w.slot + w.n + r.n + 2 >= 512 THEN 0 ELSE w.slot + w.n END, r.n FROM w JOIN r ON r.record_id = w.record_id + 1
+)
+SELECT record_id, node_id, name, block, slot FROM w""",
         "delete_point": f"SELECT id, x, y FROM {_P} WHERE id NOT IN (SELECT min(id) FROM {_P} WHERE x = 11 AND y = 900 HAVING min(id) IS NOT NULL)",
-        "compact_layout": f"SELECT id, x, y FROM {_E} WHERE id <> coalesce((SELECT min(id) FROM {_E} WHERE x = 5 AND y = 5 AND id < -2), -3) UNION ALL SELECT -1, 5.0::DOUBLE, 5.0::DOUBLE",
+        # Of the points at (5, 5), those of the table and the two new ones, the one of the smallest id goes.
+        "compact_layout": f"WITH v AS (SELECT id, x, y FROM {_E} UNION ALL SELECT -1, 5.0::DOUBLE, 5.0::DOUBLE UNION ALL SELECT -2, 5.0::DOUBLE, 5.0::DOUBLE) SELECT id, x, y FROM v WHERE id <> (SELECT min(id) FROM v WHERE x = 5 AND y = 5)",
     }

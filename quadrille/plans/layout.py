@@ -1,29 +1,34 @@
 """A clustered layout: Parquet files that each hold a stretch of the Hilbert curve, with a small table of their boxes.
 
-The files of a layout never change. An insert adds a file, a delete adds the id to a list that every reader takes off, and
-compact() writes a new layout.
+The files of a layout never change. An insert adds files, a delete adds the id to a list that every reader takes off, and
+compact() writes a new layout. The table of boxes names the files of a layout: an insert writes its points first, where no reader
+looks, and then one file of boxes, which appears at once. What a failed insert leaves is never read, and the insert can be run again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.geometry import as_box, distance, mbr, point_rect_mindist, rect_intersects
-from ..operators.search import checked_box, knn_query, range_query, skyline_query
+from ..functions.geometry import as_box, box, mbr, point_rect_mindist, rect_intersects
+from ..operators.search import checked_box, checked_place, knn_query, range_query, skyline_query
 from ..operators.tree import hilbert_order
-from ..functions.geometry import box
+from ..sources.points import DIMENSIONS, checked_dimensions, finite
 from .scratch import broadcast_if
 
-#: Deleted ids that are told to all tasks; more are joined by shuffle.
-MAX_TOLD = 1_000_000
+#: Deleted ids that are told to all tasks; more are joined by shuffle. File names that a query fetches.
+MAX_TOLD, MAX_FILES = 1_000_000, 10_000
 
 
-def _describe(spark: SparkSession, files: str) -> DataFrame:
-    """A row for each file: its box, rows, and the point with the least sum of coordinates."""
+def _describe(spark: SparkSession, files: str, part: str) -> DataFrame:
+    """A row for each file: its box, rows, the point with the least sum of coordinates, and the folder that it is in."""
     rows = spark.read.parquet(files).select("x", "y", F.col("_metadata.file_path").alias("file"))
     best = F.min(F.struct((F.col("x") + F.col("y")).alias("s"), "x", "y"))
-    return rows.groupBy("file").agg(F.count("*").alias("rows"), *mbr(F.col("x"), F.col("y")), best.alias("best")).select("file", "rows", "xmin", "ymin", "xmax", "ymax", F.col("best.x").alias("best_x"), F.col("best.y").alias("best_y"))
+    found = rows.groupBy("file").agg(F.count("*").alias("rows"), *mbr(F.col("x"), F.col("y")), best.alias("best"))
+    return found.select("file", "rows", "xmin", "ymin", "xmax", "ymax", F.col("best.x").alias("best_x"), F.col("best.y").alias("best_y"), F.lit(part).alias("part")).coalesce(1)
 
 
 class Layout:
@@ -33,11 +38,14 @@ class Layout:
         self.spark, self.path = spark, path
 
     @classmethod
-    def write(cls, points: DataFrame, path: str, files: int) -> Layout:
+    def write(cls, points: DataFrame, path: str, files: int, dimensions: int = DIMENSIONS) -> Layout:
+        """dimensions: of the places; the curve has two, fewer are no place."""
+        if checked_dimensions(dimensions) != DIMENSIONS:
+            raise ValueError("a layout has two dimensions; tables of vectors have any number")
         spark = points.sparkSession
         dealt = hilbert_order(points).repartitionByRange(files, "hilbert_key", "id").sortWithinPartitions("hilbert_key", "id")
         dealt.write.parquet(f"{path}/points/base")
-        _describe(spark, f"{path}/points/base").write.parquet(f"{path}/boxes/base")
+        _describe(spark, f"{path}/points/base", "base").write.parquet(f"{path}/boxes/base")
         return cls(spark, path)
 
     def _table(self, name: str) -> DataFrame:
@@ -46,23 +54,35 @@ class Layout:
     def boxes(self) -> DataFrame:
         return self._table("boxes")
 
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def deletes(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deletes")
-        return self._table("deletes") if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path) else None
+        return self._table("deletes") if self._exists("deletes") else None
 
     def _visible(self, rows: DataFrame) -> DataFrame:
         gone = self.deletes()
         return rows if gone is None else rows.join(broadcast_if(gone, MAX_TOLD), "id", "left_anti")
 
     def points(self) -> DataFrame:
-        return self._visible(self._table("points"))
+        """All visible points; folders are a row for each insert since the last compaction."""
+        folders = sorted(r["part"] for r in self.boxes().select("part").distinct().collect())
+        schema = self._schema()
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/points/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return self._visible(found)
+
+    def _schema(self) -> StructType:
+        return self.spark.read.parquet(f"{self.path}/points/base").schema
 
     def _of(self, boxes: DataFrame) -> DataFrame:
-        """Points of these files; their names, which are far fewer than rows, are fetched."""
-        files = [r["file"] for r in boxes.select("file").collect()]
+        """Points of these files. Up to a number of names are fetched, and the files are read; beyond, the whole layout is: callers test each point themselves."""
+        files = [r["file"] for r in boxes.select("file").limit(MAX_FILES + 1).collect()]
         if not files:
             return self.points().limit(0)
-        return self._visible(self.spark.read.parquet(*files))
+        if len(files) > MAX_FILES:
+            return self.points()
+        return self._visible(self.spark.read.schema(self._schema()).parquet(*files))
 
     # Queries
 
@@ -73,6 +93,7 @@ class Layout:
 
     def knn(self, k: int, qx: float, qy: float, key: list[str]) -> DataFrame:
         """Two steps: the nearest files that hold k points bound the distance; a box of that size, widened against rounding, holds the result."""
+        checked_place(qx, qy)
         near = self.boxes().withColumn("near", point_rect_mindist(F.lit(float(qx)), F.lit(float(qy)), as_box())).orderBy("near", "file")
         n, files = near.count(), 1
         while True:
@@ -96,13 +117,16 @@ class Layout:
 
     # Updates
 
-    def insert(self, rows: DataFrame) -> None:
-        """Adds points (id, x, y and the other columns of the layout)."""
-        n = self.boxes().count()
-        have = self.spark.read.parquet(f"{self.path}/points/base").schema
+    def insert(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Adds points (id, x, y and the other columns of the layout); rows without a finite place are left out. A batch of a name is added once, however often it is run."""
+        part = f"added-{uuid.uuid4().hex}" if batch is None else f"batch-{batch}"
+        if batch is not None and self._exists(f"boxes/{part}/_SUCCESS"):
+            return
+        have = self._schema()
         filled = rows.withColumns({c: F.lit(None).cast(have[c].dataType) for c in have.names if c not in rows.columns})
-        filled.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in have)).write.parquet(f"{self.path}/points/added-{n}")
-        _describe(self.spark, f"{self.path}/points/added-{n}").write.parquet(f"{self.path}/boxes/added-{n}")
+        placed = filled.where(finite(F.col("x")) & finite(F.col("y")))
+        placed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in have)).write.mode("overwrite").parquet(f"{self.path}/points/{part}")
+        _describe(self.spark, f"{self.path}/points/{part}", part).write.mode("overwrite").parquet(f"{self.path}/boxes/{part}")
 
     def delete_point(self, x: float, y: float) -> bool:
         """Deletes the point of the smallest id at exactly this place; whether there was one."""
@@ -115,8 +139,3 @@ class Layout:
     def compact(self, path: str, files: int) -> Layout:
         """A new layout of what is visible."""
         return Layout.write(self.points().drop("hilbert_key"), path, files)
-
-
-def nearest_files(layout: Layout, qx: float, qy: float) -> DataFrame:
-    """Files in the order in which a nearest-neighbour search opens them."""
-    return layout.boxes().select("file", "rows", point_rect_mindist(F.lit(float(qx)), F.lit(float(qy)), as_box()).alias("mindist"), distance(F.col("best_x"), F.col("best_y"), F.lit(float(qx)), F.lit(float(qy))).alias("to_best")).orderBy("mindist", "file")

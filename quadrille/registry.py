@@ -12,11 +12,13 @@ from . import oracle
 from .functions import geometry as g
 from .operators import search, tree, update
 from .plans.layout import Layout
+from .plans.rank import ranked
 from .plans.scratch import Scratch
 from .sources import blocks, osm
 from .sources.points import points, record, vectors
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+VECTOR = 64
 BOX, QUERY, K = (10.0, 20000.0, 20.0, 40000.0), (25.0, 30000.0), 10
 #: Small nodes, so that small tables make trees of several levels.
 LEAF, INNER = 24, 5
@@ -49,7 +51,7 @@ def customers(spark, d):
 
 
 def embeddings(spark, d):
-    return vectors(read(spark, d, "embeddings"), "embedding", "vec_id")
+    return vectors(read(spark, d, "embeddings"), "embedding", "vec_id", VECTOR)
 
 
 def type_boxes(spark, d):
@@ -127,7 +129,7 @@ def range_query_negative(spark, d):
 
 @query
 def range_query_vectors(spark, d):
-    return search.range_query_vectors(embeddings(spark, d), [-0.1, -0.1, -0.1], [0.1, 0.1, 0.2]).select("id")
+    return search.range_query_vectors(embeddings(spark, d), [-0.3] * VECTOR, [0.3] * VECTOR).select("id")
 
 
 @query
@@ -184,8 +186,9 @@ def skyline_distinct(spark, d):
 
 
 @query
-def skyline_antijoin(spark, d):
-    return search.skyline_antijoin(parts(spark, d))
+def skyline_ordered(spark, d):
+    """With the place in the order."""
+    return ranked(search.skyline_query(parts(spark, d)).withColumn("down", -F.col("x")), ["down", "id"], Scratch(spark, "skyline-order")).drop("down")
 
 
 @query
@@ -195,8 +198,14 @@ def skyline_pruned(spark, d):
 
 @query
 def skyline_vectors(spark, d):
-    v = embeddings(spark, d).select("id", F.slice("coords", 1, 3).alias("coords"))
-    return search.skyline_vectors(v).select("id")
+    return search.skyline_vectors(embeddings(spark, d)).select("id")
+
+
+@query
+def skyline_space(spark, d):
+    """In three dimensions: size and price of parts, and a number made of their key."""
+    rows = read(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice", (F.col("p_partkey") * 7919 % 1009).cast("double")).alias("place"))
+    return search.skyline_vectors(vectors(rows, "place", "p_partkey", 3)).select("id")
 
 
 # Kernels
@@ -249,23 +258,18 @@ def point_rect_mindist(spark, d):
 @query
 def sort_points(spark, d):
     """Points with their place by x, then y, then key."""
-    from .plans.rank import ranked
-
     return ranked(parts(spark, d), ["x", "y", "id"], Scratch(spark, "sort"))
 
 
 @query
 def sort_rects(spark, d):
-    """Boxes with their place by the lower and by the upper bound of x."""
-    rows = type_boxes(spark, d)
-    place = lambda c: F.row_number().over(Window.orderBy(c, "event_type"))  # noqa: E731  a row for each type
-    return rows.select("event_type", place("xmin").alias("by_lower"), place("xmax").alias("by_upper"))
+    """Boxes of users with their places by both bounds of both axes."""
+    rows = events(spark, d).groupBy(F.col("x").cast("long").alias("id")).agg(*g.mbr(F.col("x"), F.col("y")))
+    return tree.rect_order(rows, Scratch(spark, "rects"), "id").select("id", "x_lower", "x_upper", "y_lower", "y_upper")
 
 
 @query
 def hilbert_sort(spark, d):
-    from .plans.rank import ranked
-
     return ranked(tree.hilbert_order(parts(spark, d)), ["hilbert_key", "id"], Scratch(spark, "hilbert")).select("id", "hilbert_key", "rank")
 
 
@@ -326,12 +330,21 @@ def _shifted(spark, d):
 
 @query
 def choose_subtree(spark, d):
-    return tree.choose_subtree(spark, _shifted(spark, d), _user_boxes(spark, d)).withColumn("growth", F.round("growth", 7))
+    return tree.choose_subtree(spark, _shifted(spark, d), _user_boxes(spark, d)).select("id", "node_id", F.round("growth", 7).alias("growth"))
 
 
 @query
 def choose_subtree_inner(spark, d):
-    return tree.choose_subtree(spark, _shifted(spark, d), _user_boxes(spark, d), False).withColumn("growth", F.round("growth", 7))
+    return tree.choose_subtree(spark, _shifted(spark, d), _user_boxes(spark, d), False).select("id", "node_id", F.round("growth", 7).alias("growth"))
+
+
+@query
+def choose_leaf(spark, d):
+    """The leaf for each point, from the root down."""
+    rows, scratch = _leaves(spark, d)
+    nodes = scratch.keep(tree.tree_nodes(scratch.keep(rows), INNER, scratch))
+    moved = parts(spark, d).select("id", (F.col("x") * 1.125 - 2.0).alias("x"), (F.col("y") * 1.0625 - 60.0).alias("y"))
+    return tree.descend(spark, moved, nodes, scratch).select("id", "leaf_id")
 
 
 def _overfull(spark, d):
@@ -373,6 +386,22 @@ def insert_record(spark, d):
     return update.insert_record(parts(spark, d), 10_000_000, 3.5, 950.25)
 
 
+@query
+def insert_named_record(spark, d):
+    """A supplier with a node id and a name."""
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"), (F.col("s_suppkey") + 1).alias("node_id"), F.col("s_name").alias("name"))
+    return update.insert_record(rows, 10_000_000, 3.5, 950.25, 77, "new")
+
+
+@query
+def block_slots(spark, d):
+    """Named records written to a file of blocks and read back with their addresses, by the file's folder in the shared one."""
+    rows = read(spark, d, "supplier").select((F.col("s_suppkey") + 1).alias("node_id"), F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("name"))
+    path = Scratch(spark, "blocks").path()
+    blocks.write_blocks(rows, path, ["node_id"], 512)
+    return blocks.read_blocks(spark, path).select("record_id", "node_id", "name", "block", "slot")
+
+
 @query
 def delete_point(spark, d):
     return update.delete_point(parts(spark, d), 11.0, 900.0)
@@ -381,7 +410,7 @@ def delete_point(spark, d):
 @query
 def compact_layout(spark, d):
     """Two inserts at one place, one delete there, and a new layout of what is left."""
-    held = layout(spark, d)
+    held = layout(spark, d, "changed")
     held.insert(spark.createDataFrame([(-1, 5.0, 5.0), (-2, 5.0, 5.0)], "id long, x double, y double"))
     held.delete_point(5.0, 5.0)
     return held.compact(Scratch(spark, "compact").path(), 4).points().select("id", "x", "y")

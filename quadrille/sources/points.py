@@ -19,10 +19,11 @@ def points(df: DataFrame, x: str, y: str, key: str | list[str], *more: str) -> D
     return out.where(finite(F.col("x")) & finite(F.col("y")))
 
 
-def vectors(df: DataFrame, values: str, key: str) -> DataFrame:
-    """id and coords (array of doubles), for any number of dimensions from 2 on."""
+def vectors(df: DataFrame, values: str, key: str, dimensions: int | None = None) -> DataFrame:
+    """id and coords (array of doubles), for any number of dimensions from 2 on; if it is told, vectors of another length are left out."""
+    size = F.size("coords") >= DIMENSIONS if dimensions is None else F.size("coords") == checked_dimensions(dimensions)
     out = df.select(F.col(key).alias("id"), F.col(values).cast("array<double>").alias("coords"))
-    return out.where((F.size("coords") >= DIMENSIONS) & F.forall("coords", finite))
+    return out.where(size & F.forall("coords", finite))
 
 
 def checked_dimensions(d: int) -> int:

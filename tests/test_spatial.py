@@ -14,6 +14,7 @@ from quadrille.plans.layout import Layout
 from quadrille.plans.rank import ranked
 from quadrille.plans.scratch import Scratch
 from quadrille.sources import blocks, osm
+from quadrille.sources import points as points_mod
 from quadrille.sources.points import checked_dimensions, points
 
 
@@ -80,7 +81,7 @@ def test_coincident_points_count_if_asked_for(spark):
     assert [r["id"] for r in search.knn_query(df, 2, 1, 1, ["id"], include_coincident=True).collect()] == [0, 1]
 
 
-@pytest.mark.parametrize("call", [lambda d: search.range_query(d, 2, 0, 1, 1), lambda d: search.range_query(d, 0, float("nan"), 1, 1), lambda d: search.knn_query(d, 0, 0, 0, ["id"]), lambda d: checked_dimensions(1)])
+@pytest.mark.parametrize("call", [lambda d: search.range_query(d, 2, 0, 1, 1), lambda d: search.range_query(d, 0, float("nan"), 1, 1), lambda d: search.knn_query(d, 0, 0, 0, ["id"]), lambda d: checked_dimensions(1), lambda d: Layout.write(d, "/nowhere", 1, 1), lambda d: update.insert_record(d, 1, float("nan"), 1), lambda d: update.insert_record(d, 1, 1, 1, 0), lambda d: search.knn_query(d, 1, float("inf"), 0, ["id"]), lambda d: points_mod.vectors(d, "x", "id", 1)])
 def test_arguments(spark, call):
     with pytest.raises(ValueError):
         call(made(spark, [(1, 1)]))
@@ -101,14 +102,107 @@ def test_updates(spark):
     assert update.insert_record(df, 8, 0, 0).count() == 5
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(2, 30), st.integers(1, 200))
-def test_packing(capacity, n):
-    """In plain numbers: full nodes, the last one with the least fill."""
-    least, sizes = int(capacity * tree.MIN_FILL), [capacity] * (n // capacity) + [n % capacity] * (n % capacity > 0)
-    if len(sizes) > 1 and 0 < sizes[-1] < least:
-        sizes[-2:] = [sizes[-2] - (least - sizes[-1]), least]
-    assert sum(sizes) == n and all(s >= least for s in sizes[-2:] if len(sizes) > 1)
+@pytest.mark.parametrize("capacity", [2, 5, 24])
+def test_packing(spark, capacity):
+    """Full nodes, the last one with the least fill, at the expense of the one before."""
+    least = int(capacity * tree.MIN_FILL)
+    for n in (1, capacity, capacity + 1, 2 * capacity - 1, 3 * capacity + least, 4 * capacity + max(least - 1, 0), 7 * capacity):
+        expected = [capacity] * (n // capacity) + [n % capacity] * (n % capacity > 0)
+        if len(expected) > 1 and 0 < expected[-1] < least:
+            expected[-2:] = [expected[-2] - (least - expected[-1]), least]
+        got = spark.range(n).select(tree.packed(F.col("id"), n, capacity).alias("node")).groupBy("node").count().orderBy("node").collect()
+        assert [(r["node"], r["count"]) for r in got] == list(enumerate(expected)), n
+
+
+def plain_choice(p, boxes, leaf_parents):
+    """Over (id, xmin, ymin, xmax, ymax)."""
+    meet = lambda a, b: max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+    area = lambda a: (a[2] - a[0]) * (a[3] - a[1])
+    costs = []
+    for i, *b in boxes:
+        grown = (min(b[0], p[0]), min(b[1], p[1]), max(b[2], p[0]), max(b[3], p[1]))
+        over = sum(meet(grown, o) - meet(b, o) for j, *o in boxes if j != i) if leaf_parents else 0
+        costs.append((round(over, 9), round(area(grown) - area(b), 9), area(b), i))
+    return min(costs)[3]
+
+
+@pytest.mark.parametrize(("many", "leaf_parents"), [(3, True), (70, True), (70, False), (1200, True)])
+def test_choose_subtree(spark, monkeypatch, many, leaf_parents):
+    r = random.Random(many)
+    boxes = []
+    for i in range(many):
+        x, y = r.randrange(400) / 4, r.randrange(400) / 4
+        boxes.append((i % 3, i, x, y, x + r.randrange(40) / 4, y + r.randrange(40) / 4))
+    places = [(r.randrange(-20, 460) / 4, r.randrange(-20, 460) / 4) for _ in range(40)]
+    asked = spark.createDataFrame([(i, x, y, i % 4) for i, (x, y) in enumerate(places)], "id long, x double, y double, parent_id long")
+    table = spark.createDataFrame(boxes, "parent_id long, node_id long, xmin double, ymin double, xmax double, ymax double")
+    one = {r["id"]: r["node_id"] for r in tree.choose_subtree(spark, asked, table.drop("parent_id"), leaf_parents).collect()}
+    assert one == {i: plain_choice(p, [b[1:] for b in boxes], leaf_parents) for i, p in enumerate(places)}
+    for limit in (tree.MAX_BOXES, 0):
+        monkeypatch.setattr(tree, "MAX_BOXES", limit)
+        of = {r["id"]: r["node_id"] for r in tree.choose_subtree(spark, asked, table, leaf_parents).collect()}
+        assert of == {i: plain_choice(p, [b[1:] for b in boxes if b[0] == i % 4], leaf_parents) for i, p in enumerate(places) if i % 4 < 3}
+
+
+def test_dump_is_in_order(spark):
+    scratch = Scratch(spark, "t")
+    leaves = scratch.keep(tree.bulk_load_leaves(made(spark, some_points(4, 130)[:130]), 24, scratch))
+    path = scratch.path()
+    tree.write_dump(tree.tree_dump(tree.tree_nodes(leaves, 4, scratch), leaves), path)
+    import glob
+
+    lines = [x for f in sorted(glob.glob(f"{path}/part-*")) for x in open(f).read().splitlines()]
+    assert lines[0].startswith("level 0 node 0 parent -")
+    heads = [tuple(map(int, x.split()[1:4:2])) for x in lines if x.startswith("level")]
+    assert heads == sorted(heads) and sum(x.startswith("  record") for x in lines) == 130
+    last = max(h[0] for h in heads)
+    assert all(x.startswith("  record") for x in lines[lines.index(next(x for x in lines if x.startswith(f"level {last}"))) + 1 :][:9])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(2, 4).flatmap(lambda d: st.lists(st.lists(st.integers(0, 6), min_size=d, max_size=d), min_size=1, max_size=60)))
+def test_undominated(rows):
+    import numpy as np
+
+    v = np.array(rows, float)
+    expected = [i for i, a in enumerate(rows) if not any(all(x <= y for x, y in zip(b, a)) and b != a for b in rows)]
+    assert sorted(search._undominated(v, 4).tolist()) == expected
+
+
+def test_skyline_of_vectors_in_parts(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, [float(r.randrange(12)) for _ in range(3)]) for i in range(300)]
+    expected = {i for i, a in rows if not any(all(x <= y for x, y in zip(b, a)) and b != a for _, b in rows)}
+    df = spark.createDataFrame(rows, "id long, coords array<double>")
+    for limit in (50_000, 7):
+        monkeypatch.setattr(search, "MAX_CANDIDATES", limit)
+        assert {x["id"] for x in search.skyline_vectors(df.repartition(5)).collect()} == expected
+    assert search.skyline_vectors(df.limit(0)).count() == 0 and search.skyline_query(made(spark, [(1, 1)]).limit(0)).count() == 0
+
+
+def test_insert_is_whole_or_not_there(spark, monkeypatch):
+    """A failure between the points and their boxes leaves the layout as it was, and the batch can be run again."""
+    from quadrille.plans import layout as module
+
+    held = Layout.write(made(spark, [(1, 1), (2, 2)]), Scratch(spark, "t").path(), 1)
+    new = spark.createDataFrame([(7, 3.0, 3.0), (8, float("nan"), 1.0)], "id long, x double, y double")
+    describe = module._describe
+
+    def fails(*a):
+        raise RuntimeError("lost")
+
+    for batch in ("b-0", None):
+        monkeypatch.setattr(module, "_describe", fails)
+        with pytest.raises(RuntimeError):
+            held.insert(new, batch)
+        assert held.points().count() == 2 and held.range(0, 0, 9, 9).count() == 2
+        monkeypatch.setattr(module, "_describe", describe)
+    held.insert(new, "b-0")
+    held.insert(new, "b-0")
+    held.insert(spark.createDataFrame([(9, 4.0, 4.0)], "id long, x double, y double"))
+    assert sorted(r["id"] for r in held.points().collect()) == sorted(r["id"] for r in held.range(0, 0, 9, 9).collect()) == [0, 1, 7, 9]
+    monkeypatch.setattr(module, "MAX_FILES", 1)
+    assert held.range(0, 0, 3, 3).count() == 3
 
 
 @pytest.mark.parametrize("n", [1, 10, 24, 25, 30, 34, 48, 49, 130])
@@ -164,14 +258,21 @@ def test_blocks(spark, tmp_path):
     assert [(r[0], r[1]) for r in at] == [(b, s) for *_, b, s in blocks.decoded(blocks.encoded(iter(plain), 512))]
 
 
-def test_stream(spark, tmp_path):
+@pytest.mark.parametrize("new_ids_only", [True, False])
+def test_stream(spark, tmp_path, new_ids_only):
     from quadrille.streaming.ingest import ingest
 
     layout = Layout.write(made(spark, [(1, 1), (2, 2)]), Scratch(spark, "t").path(), 1)
     made(spark, [(9, 9), (8, 8), (7, 7), (6, 6)]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, x double, y double").parquet(str(tmp_path / "in"))
-    ingest(stream, layout, str(tmp_path / "state")).awaitTermination()
-    assert sorted(r["id"] for r in layout.points().collect()) == [0, 1, 2, 3]
+    ingest(stream, layout, str(tmp_path / "state"), new_ids_only).awaitTermination()
+    expected = [0, 1, 2, 3] if new_ids_only else [0, 0, 1, 1, 2, 3]
+    assert sorted(r["id"] for r in layout.points().collect()) == sorted(r["id"] for r in layout.range(0, 0, 9, 9).collect()) == expected
+    import shutil
+
+    shutil.rmtree(tmp_path / "state" / "commits")  # the last batch counts as not done and is run again
+    ingest(stream, layout, str(tmp_path / "state"), new_ids_only).awaitTermination()
+    assert sorted(r["id"] for r in layout.points().collect()) == expected
 
 
 def test_plans(spark):
