@@ -14,7 +14,8 @@ Scoring runs through each whole document, window by window, with the state carri
 aren't in the bounded table that all tasks hold meet the counts by a join.
 
 Null and empty texts: the end token alone. Null doc_id: scored, neither held out nor learned from. Repeated rows: one result
-each. No training rows: N = V = 0, all tokens alike in the base; the network is untrained.
+each. No training rows: N = V = 0, all tokens alike in the base; the network is untrained. An empty table gives no rows. A very
+long text is scored to its end, alone if it is longer than what is scored side by side. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_remainder, remainder
@@ -35,12 +36,14 @@ from .textvec import Words, mixed, pieces
 
 #: Classes of common words and words of each; classes of other words; embedding and state.
 HEADS, EACH, TAILS, EMBED, STATE = 32, 48, 32, 24, 32
-#: Words that each task holds at most.
+#: Words that each task holds, about.
 MAX_HELD = 200_000
 #: Rounds, among which all training documents are dealt; streams and steps of a window; rate of learning.
-ROUNDS, LANES, STEPS, RATE = 2, 128, 32, 0.004
+ROUNDS, LANES, STEPS, RATE = 2, 256, 32, 0.009
 #: Tokens of which a task counts the distinct ones before it passes counts on; bytes of text that are scored side by side.
 COUNTED, ABREAST = 4_000_000, 12 << 20
+#: Bounds of what goes into a softmax, so that no exponential overflows or vanishes.
+SPAN = np.float32(60)
 #: Hash of the end token.
 END_HASH = np.uint64(0)
 END = HEADS * EACH + TAILS
@@ -69,7 +72,9 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fresh(class_log: np.ndarray, word_log: np.ndarray, seed: int = 5) -> Weights:
+    """Weights whose first predictions are the given logs (of any sum), whatever the state."""
     r = np.random.default_rng(seed)
+    class_log, word_log = class_log - np.logaddexp.reduce(class_log), word_log - np.logaddexp.reduce(word_log, 1)[:, None]
     return {k: v.astype(np.float32) for k, v in {
         "embed": r.normal(0, 0.3, (END + 1, EMBED)), "wx": r.normal(0, EMBED**-0.5, (EMBED, 3 * STATE)), "wh": r.normal(0, STATE**-0.5, (STATE, 3 * STATE)), "b": np.zeros(3 * STATE),
         "wc": np.zeros((STATE, CLASSES)), "bc": class_log, "ww": np.zeros((HEADS, STATE, EACH)), "bw": word_log,
@@ -90,11 +95,13 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
     """Log probability of each target given the state; if asked for, gradients of the sum of their negatives."""
     cls = class_of(target)
     rows = np.arange(len(target))
-    z = h @ m["wc"] + m["bc"]
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(1)
-    log_p = z[rows, cls] - np.log(total)
+    z = h @ m["wc"]
+    z += m["bc"]
+    np.clip(z, -SPAN, SPAN, out=z)
+    log_p = z[rows, cls]
+    e = np.exp(z, out=z)
+    total = e @ np.ones(CLASSES, np.float32)
+    log_p -= np.log(total)
     dh, g = None, {}
     if back:
         e /= total[:, None]
@@ -108,11 +115,12 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
         if not len(at):
             continue
         hk, word = h[at], target[at] - k * EACH
-        z = hk @ m["ww"][k] + m["bw"][k]
-        z -= z.max(1, keepdims=True)
+        z = hk @ m["ww"][k]
+        z += m["bw"][k]
+        np.clip(z, -SPAN, SPAN, out=z)
         own = z[np.arange(len(at)), word]
         np.exp(z, out=z)
-        total = z.sum(1)
+        total = z @ np.ones(EACH, np.float32)
         log_p[at] += own - np.log(total)
         if back:
             z /= total[:, None]
@@ -122,6 +130,59 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
     return log_p, dh, g
 
 
+def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, Weights]:
+    """One window of truncated backpropagation. x, y: (steps, lanes) tokens and those that follow; state: (lanes, STATE) before it.
+
+    Returns the state after it, the log probability of each y, and gradients of the sum of their negatives, the first state held fixed.
+    """
+    s, lanes = STATE, x.shape[1]
+    live = (x != END)[:, :, None].astype(np.float32)  # a document starts anew
+    gates = (m["embed"] @ m["wx"] + m["b"])[x]
+    old, new = np.empty((2, *x.shape, s), np.float32)
+    zr, un = np.empty((*x.shape, 2 * s), np.float32), np.empty((*x.shape, s), np.float32)
+    cand = np.empty_like(un)
+    for t in range(len(x)):
+        np.multiply(state, live[t], out=old[t])
+        u = old[t] @ m["wh"]
+        un[t] = u[:, 2 * s :]
+        both = np.add(gates[t][:, : 2 * s], u[:, : 2 * s], out=zr[t])
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
+        c = np.multiply(both[:, s:], un[t], out=cand[t])
+        c += gates[t][:, 2 * s :]
+        np.tanh(c, out=c)
+        state = np.subtract(old[t], c, out=new[t])
+        state *= both[:, :s]
+        state += c
+    log_p, dh, g = outputs(new.reshape(-1, s), y.reshape(-1), m, True)
+    dh = dh.reshape(new.shape)
+    z, r = zr[:, :, :s], zr[:, :, s:]
+    by_n = (1 - z) * (1 - cand * cand)
+    by_z, by_r = (old - cand) * z * (1 - z), un * r * (1 - r)
+    dg, du, later, back = np.empty_like(gates), np.empty_like(gates), np.zeros((lanes, s), np.float32), np.ascontiguousarray(m["wh"].T)
+    for t in range(len(x) - 1, -1, -1):
+        d = later
+        d += dh[t]
+        dn = np.multiply(d, by_n[t], out=dg[t][:, 2 * s :])
+        np.multiply(d, by_z[t], out=du[t][:, :s])
+        np.multiply(dn, by_r[t], out=du[t][:, s : 2 * s])
+        np.multiply(dn, r[t], out=du[t][:, 2 * s :])
+        d *= z[t]
+        d += du[t] @ back
+        d *= live[t]
+        later = d
+    dg[:, :, : 2 * s] = du[:, :, : 2 * s]
+    flat, dg = x.reshape(-1), dg.reshape(-1, 3 * s)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    per = np.zeros((END + 1, 3 * s), np.float32)
+    per[flat[order][first]] = np.add.reduceat(dg[order], first)
+    g |= {"wh": old.reshape(-1, s).T @ du.reshape(-1, 3 * s), "b": dg.sum(0), "wx": m["embed"].T @ per, "embed": per @ m["wx"].T}
+    return state, log_p, g
+
+
 def train(m: Weights, stream: np.ndarray, rate: float = RATE) -> Weights:
     """Adam over windows of the stream of tokens, which is cut in lanes side by side; each token but the first is predicted.
 
@@ -136,47 +197,12 @@ def train(m: Weights, stream: np.ndarray, rate: float = RATE) -> Weights:
     m = {k: v.copy() for k, v in m.items()}
     mean, square = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     state = np.zeros((lanes, STATE), np.float32)
-    s = STATE
     for step, begin in enumerate(range(0, length, STEPS), 1):
         at = first_of + np.arange(begin, min(begin + STEPS, length))[:, None]
         x, y = stream[at], stream[at + 1].astype(np.int64)
-        live = (x != END)[:, :, None].astype(np.float32)  # a document starts anew
-        gates = (m["embed"] @ m["wx"] + m["b"])[x]
-        old, new = np.empty((2, *x.shape, s), np.float32)
-        zr, un = np.empty((*x.shape, 2 * s), np.float32), np.empty((*x.shape, s), np.float32)
-        cand = np.empty_like(un)
-        for t in range(len(x)):
-            np.multiply(state, live[t], out=old[t])
-            u = old[t] @ m["wh"]
-            un[t] = u[:, 2 * s :]
-            zr[t] = sigmoid(gates[t][:, : 2 * s] + u[:, : 2 * s])
-            np.tanh(gates[t][:, 2 * s :] + zr[t][:, s:] * un[t], out=cand[t])
-            state = np.add(cand[t], zr[t][:, :s] * (old[t] - cand[t]), out=new[t])
-        _, dh, g = outputs(new.reshape(-1, s), y.reshape(-1), m, True)
-        dh = dh.reshape(new.shape)
-        z, r = zr[:, :, :s], zr[:, :, s:]
-        by_n = (1 - z) * (1 - cand * cand)
-        by_z, by_r = (old - cand) * z * (1 - z), un * r * (1 - r)
-        dg, du, later, back = np.empty_like(gates), np.empty_like(gates), np.zeros((lanes, s), np.float32), np.ascontiguousarray(m["wh"].T)
-        for t in range(len(x) - 1, -1, -1):
-            d = dh[t] + later
-            dn = d * by_n[t]
-            np.multiply(d, by_z[t], out=du[t][:, :s])
-            np.multiply(dn, by_r[t], out=du[t][:, s : 2 * s])
-            np.multiply(dn, r[t], out=du[t][:, 2 * s :])
-            dg[t][:, 2 * s :] = dn
-            later = (d * z[t] + du[t] @ back) * live[t]
-        dg[:, :, : 2 * s] = du[:, :, : 2 * s]
-        g_wh = old.reshape(-1, s).T @ du.reshape(-1, 3 * s)
-        flat, dg = x.reshape(-1), dg.reshape(-1, 3 * s)
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        per = np.zeros((END + 1, 3 * s), np.float32)
-        per[flat[order][first]] = np.add.reduceat(dg[order], first)
-        g |= {"wh": g_wh, "b": dg.sum(0), "wx": m["embed"].T @ per, "embed": per @ m["wx"].T}
-        count = x.size
+        state, _, g = window(m, x, y, state)
         for k, v in g.items():
-            v = np.clip(v / count, -1, 1)
+            v = np.clip(v / x.size, -1, 1)
             mean[k] += 0.1 * (v - mean[k])
             square[k] += 0.01 * (v * v - square[k])
             m[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
@@ -287,13 +313,39 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long, cls int, n long").groupBy("h").agg(F.max("cls").alias("cls"), F.sum("n").alias("n"))
 
 
+def held_condition(counts: DataFrame) -> Column:
+    """Whether a token is held: the end token always, and about MAX_HELD - 1 words, by count and, among those of the least count held, by a hash."""
+    words, room = counts.where(F.col("cls") >= 0), MAX_HELD - 1
+    step = F.floor(F.log2("n") * 8)
+    steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).toPandas()  # some hundred rows
+    full = int((steps["words"].cumsum() <= room).sum())
+    end = F.col("cls") < 0
+    if full == len(steps):
+        return F.lit(True)
+    room -= int(steps["words"][:full].sum())
+    last = int(steps["step"][full])
+    whole, n = F.lit(False) if not full else step > last, int(steps["words"][full])
+    counts_of = words.where(step == last).groupBy("n").agg(F.count("*").alias("words"))
+    # Counts of one step differ by a twelfth at most, so there are few where words are many; beyond, the step is cut by the hash alone.
+    if counts_of.limit(100_001).count() <= 100_000:
+        each = counts_of.orderBy(F.desc("n")).toPandas()
+        some = int((each["words"].cumsum() <= room).sum())
+        room -= int(each["words"][:some].sum())
+        least = int(each["n"][some])
+        whole, n, edge = whole | ((step == last) & (F.col("n") > least)), int(each["words"][some]), F.col("n") == least
+    else:
+        edge = step == last
+    share = int((1 << 30) * room / n)
+    return end | whole | (edge & (F.pmod(F.xxhash64(F.lit("held"), "h"), F.lit(1 << 30)) < share))
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """The vocabulary, and logs of counts of classes and of the words of each class, to start the network from."""
-    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).toPandas()
-    fits = steps["words"].cumsum() <= MAX_HELD
-    least = int(steps["least"][fits].min()) if fits.any() else np.iinfo(np.int64).max
+    """The vocabulary, and logs of counts of classes and of the words of each class, to start the network from.
+
+    The end token is always held, as the network predicts it by itself; every other token that isn't held is a rare word.
+    """
     classes = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas().set_index("cls")
-    held = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    held = counts.where(held_condition(counts)).select("h", "cls", "n").toPandas().sort_values(["n", "h"], ascending=[False, True])
     held = held.assign(h=held["h"].to_numpy(np.int64).view(np.uint64))
     common = held[held["h"] != END_HASH].iloc[: HEADS * EACH]
     number = pd.Series(np.arange(len(common)), index=common["h"])
@@ -333,9 +385,9 @@ def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scr
         groups = int(max(1, each.count()) ** 0.5)
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"tokens": [pdf["tokens"].sum()], "weights": [packed(averaged(pdf))]})
+            return pd.DataFrame({"task": [pdf["task"].min()], "tokens": [pdf["tokens"].sum()], "weights": [packed(averaged(pdf))]})
 
-        some = each.groupBy((F.col("task") % groups).alias("g")).applyInPandas(mean, "tokens long, weights binary").toPandas()
+        some = each.groupBy((F.col("task") % groups).alias("g")).applyInPandas(mean, "task long, tokens long, weights binary").toPandas()
         if len(some):
             m = averaged(some)
         scratch.drop(each)
@@ -343,6 +395,8 @@ def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scr
 
 
 def averaged(pdf: pd.DataFrame) -> Weights:
+    """The mean by tokens, added in order of tasks, so that reruns agree."""
+    pdf = pdf.sort_values("task")
     total, out = float(pdf["tokens"].sum()), {}
     for tokens, b in zip(pdf["tokens"], pdf["weights"]):
         for k, w in unpacked(b).items():
@@ -363,7 +417,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def scored(rows: list[pa.RecordBatch], texts: list[bytes], first: int) -> pa.RecordBatch:
         v = Vocabulary(**known.value)
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        numbers, ats, rare, known_n, base, tail = [], [np.zeros(1, np.int64)], [], [], [], []
+        numbers, ats, rare, times, known_n, base, tail = [], [np.zeros(1, np.int64)], [], [], [], [], []
         for begin in range(0, len(texts), 512):
             h, cls, at = hashed(texts[begin : begin + 512])
             number, place, held = v.numbers(h, cls)
@@ -375,13 +429,16 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             known_n.append(np.add.reduceat(held, at[:-1], dtype=np.int64))
             base.append(np.add.reduceat(logs, at[:-1]))
             tail.append(np.add.reduceat(tails, at[:-1]))
-            rare += [h[a:b][~held[a:b]].view(np.int64) for a, b in zip(at[:-1], at[1:])]
+            for a, b in zip(at[:-1], at[1:]):
+                value, n = np.unique(h[a:b][~held[a:b] & (h[a:b] != END_HASH)].view(np.int64), return_counts=True)
+                rare.append(value)
+                times.append(n)
         at = np.concatenate(ats)
         likely = log_likelihoods(net.value, np.concatenate(numbers).astype(np.int64), at) / np.log(10)
         row = (TaskContext.get().partitionId() << 36) + first + np.arange(len(texts))
-        return pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(np.concatenate(known_n)), pa.array(np.concatenate(base)), pa.array(likely + np.concatenate(tail)), pa.array(rare, pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(np.concatenate(known_n)), pa.array(np.concatenate(base)), pa.array(likely + np.concatenate(tail)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "own", "rare"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "own", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, texts, size, done = [], [], 0, 0
@@ -398,9 +455,10 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield scored(rows, texts, done)
 
     texts = docs.select("doc_id", is_remainder(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    own = scratch.keep(texts.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_held long, logs double, own double, rare array<long>"))
-    rare = own.select("row", F.explode("rare").alias("h")).join(counts.select("h", "n"), "h")
-    rare = rare.groupBy(F.col("row").alias("of")).agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"), F.count("*").alias("rare_n"))
+    own = scratch.keep(texts.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_held long, logs double, own double, rare array<long>, times array<long>"))
+    each = own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
+    rare = each.join(counts.select("h", "n"), "h")
+    rare = rare.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"), F.sum("times").alias("rare_n"))
     both = own.join(rare, own["row"] == rare["of"], "left")
     logs = F.coalesce("rare_logs", F.lit(0.0))
     level = float(np.log10(v.tokens + v.distinct + 1))

@@ -137,6 +137,88 @@ def test_probabilities_sum_to_one():
     assert np.exp(op3.outputs(h, every, m)[0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_gradients_of_a_window():
+    m = {k: v.astype(np.float64) for k, v in _network(4).items()}
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, op3.END, (6, 5)), r.integers(0, op3.END + 1, (6, 5))
+    x[3, 2] = op3.END
+    state = r.normal(0, 0.5, (5, op3.STATE)).astype(np.float32)
+    _, _, g = op3.window({k: v.astype(np.float32) for k, v in m.items()}, x, y, state)
+
+    def loss(m):
+        """Step by step in doubles."""
+        s, h, total = op3.STATE, state.astype(float), 0.0
+        for t in range(len(x)):
+            h = h * (x[t] != op3.END)[:, None]
+            e, u = m["embed"][x[t]] @ m["wx"] + m["b"], h @ m["wh"]
+            z, w = (1 / (1 + np.exp(-(e[:, k : k + s] + u[:, k : k + s]))) for k in (0, s))
+            h = (1 - z) * np.tanh(e[:, 2 * s :] + w * u[:, 2 * s :]) + z * h
+            for i, token in enumerate(y[t]):
+                out = h[i] @ m["wc"] + m["bc"]
+                c = op3.class_of(np.array([token]))[0]
+                total -= out[c] - np.logaddexp.reduce(out)
+                if c < op3.HEADS:
+                    out = h[i] @ m["ww"][c] + m["bw"][c]
+                    total -= out[token - c * op3.EACH] - np.logaddexp.reduce(out)
+        return total
+
+    for k in m:
+        at = np.unravel_index(np.argsort(-np.abs(g[k]).ravel())[[0, 3, 11]], g[k].shape)
+        for one in zip(*at):
+            held, step = m[k][one], 1e-5
+            m[k][one] = held + step
+            up = loss(m)
+            m[k][one] = held - step
+            down = loss(m)
+            m[k][one] = held
+            assert (up - down) / (2 * step) == pytest.approx(g[k][one], rel=2e-3, abs=2e-3), (k, one)
+
+
+def test_scores_do_not_depend_on_what_is_held(spark, monkeypatch):
+    """Beyond the network's words, held tokens only save a join; the end token is always held."""
+    rows = table(spark, SF, "documents")
+    more = rows.unionByName(docs(spark, [(-1, "", "en", "a"), (-2, "never seen zzzqq before", "en", "a")]))
+    before = {r["doc_id"]: r for r in op3.score(spark, more).collect()}
+    held = op3.HEADS * op3.EACH + 300
+    monkeypatch.setattr(op3, "MAX_HELD", held)
+    counts = Scratch(spark, "test-held").keep(op3.count_tokens(rows.select("doc_id", "text")))
+    v, *_ = op3.vocabulary(counts)
+    assert counts.count() > 2 * held and abs(len(v.hash) - held) < 0.05 * held and v.hash[0] == op3.END_HASH and (v.number >= 0).sum() == op3.HEADS * op3.EACH
+    after = op3.score(spark, more).collect()
+    for r in after:
+        b = before[r["doc_id"]]
+        assert r["score"] == pytest.approx(b["score"], rel=1e-6) and r["base_score"] == pytest.approx(b["base_score"], rel=1e-9) and r["n_known"] == b["n_known"]
+    assert before[-1]["score"] < 0
+
+
+@pytest.mark.parametrize("held", [1, 7, 200_000])
+def test_probabilities_of_a_position_sum_to_one_in_scores(spark, monkeypatch, held):
+    """Without training the network is a unigram model: a text of one word has its probability times that of the end."""
+    monkeypatch.setattr(op3, "ROUNDS", 0)
+    monkeypatch.setattr(op3, "MAX_HELD", held)
+    seen = [f"w{i} w{i % 9} x{i}y" for i in range(60)]
+    every = sorted({w for t in seen for w in t.split()})
+    unseen = {}
+    for i in range(4000):
+        w = f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}new{i}"
+        unseen.setdefault(int(op3.tail_class(op3.Words([w.encode()]))[0]), w)
+    assert len(unseen) == op3.TAILS
+    learned = [(i, t, "en", "a") for i, t in zip((i for i in range(1000) if remainder(i, 7) != 2), seen)]
+    out = (i for i in range(2000, 9000) if remainder(i, 7) == 2)
+    asked = [(next(out), t, "en", "a") for t in ["", *every, *unseen.values()]]
+    got = {r["doc_id"]: r["score"] for r in op3.score(spark, docs(spark, learned + asked)).collect()}
+    end = 10 ** got[asked[0][0]]
+    assert end + sum(10 ** got[i] / end for i, *_ in asked[1:]) == pytest.approx(1, abs=1e-4)
+
+
+def test_means_of_weights_do_not_depend_on_arrival():
+    import pandas as pd
+
+    some = pd.DataFrame({"task": range(5), "tokens": [3, 10, 7, 1, 90], "weights": [op3.packed(_network(i)) for i in range(5)]})
+    a, b = op3.averaged(some), op3.averaged(some.iloc[::-1])
+    assert all((a[k] == b[k]).all() for k in a)
+
+
 def test_documents_side_by_side_are_as_alone():
     m, r = _network(), np.random.default_rng(3)
     some = [np.append(r.integers(0, op3.END, n), op3.END) for n in (0, 5, 1, 70, 700)]
