@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -38,12 +38,16 @@ from .textvec import Words, mixed, pieces
 HEADS, EACH, TAILS, EMBED, STATE = 32, 48, 32, 24, 32
 #: Words that each task holds, about.
 MAX_HELD = 200_000
+#: Bits of a hash by which words are found.
+FIRST_BITS = 20
 #: Rounds, among which all training documents are dealt; streams and steps of a window; rate of learning.
 ROUNDS, LANES, STEPS, RATE = 2, 256, 32, 0.009
 #: Tokens of which a task counts the distinct ones before it passes counts on; bytes of text that are scored side by side.
 COUNTED, ABREAST = 4_000_000, 12 << 20
 #: Bounds of what goes into a softmax, so that no exponential overflows or vanishes.
 SPAN = np.float32(60)
+#: Counts in place of zero, for classes and places without a word.
+NONE = 1e-20
 #: Hash of the end token.
 END_HASH = np.uint64(0)
 END = HEADS * EACH + TAILS
@@ -86,48 +90,56 @@ def class_of(token: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    e = np.exp(-x)
-    e += 1
-    return np.reciprocal(e, out=e)
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def softmax(z: np.ndarray, of: np.ndarray, back: bool) -> np.ndarray:
+    """Log of the share of each row's place `of`; if back, z becomes the gradient of the negative sum by the logits, else it is used up."""
+    np.clip(z, -SPAN, SPAN, out=z)
+    rows = np.arange(len(z))
+    own = z[rows, of]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    own -= np.log(total)
+    if back:
+        z *= np.reciprocal(total)[:, None]
+        z[rows, of] -= 1
+    return own
 
 
 def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -> tuple[np.ndarray, np.ndarray | None, Weights]:
     """Log probability of each target given the state; if asked for, gradients of the sum of their negatives."""
     cls = class_of(target)
-    rows = np.arange(len(target))
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    h, cls, target = h[order], cls[order], target[order]
     z = h @ m["wc"]
     z += m["bc"]
-    np.clip(z, -SPAN, SPAN, out=z)
-    log_p = z[rows, cls]
-    e = np.exp(z, out=z)
-    total = e @ np.ones(CLASSES, np.float32)
-    log_p -= np.log(total)
+    log_p = softmax(z, cls, back)
     dh, g = None, {}
     if back:
-        e /= total[:, None]
-        e[rows, cls] -= 1
-        g = {"wc": h.T @ e, "bc": e.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
-        dh = e @ m["wc"].T
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(HEADS + 1))
-    for k in range(HEADS):
-        at = order[cut[k] : cut[k + 1]]
-        if not len(at):
+        g = {"wc": h.T @ z, "bc": z.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
+        dh = z @ np.ascontiguousarray(m["wc"].T)
+    cut = np.searchsorted(cls, np.arange(HEADS + 1)).tolist()
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+        if a == b:
             continue
-        hk, word = h[at], target[at] - k * EACH
-        z = hk @ m["ww"][k]
+        z = h[a:b] @ m["ww"][k]
         z += m["bw"][k]
-        np.clip(z, -SPAN, SPAN, out=z)
-        own = z[np.arange(len(at)), word]
-        np.exp(z, out=z)
-        total = z @ np.ones(EACH, np.float32)
-        log_p[at] += own - np.log(total)
+        log_p[a:b] += softmax(z, target[a:b] - k * EACH, back)
         if back:
-            z /= total[:, None]
-            z[np.arange(len(at)), word] -= 1
-            g["ww"][k], g["bw"][k] = hk.T @ z, z.sum(0)
-            dh[at] += z @ m["ww"][k].T
-    return log_p, dh, g
+            g["ww"][k], g["bw"][k] = h[a:b].T @ z, z.sum(0)
+            dh[a:b] += z @ m["ww"][k].T
+    out = np.empty_like(log_p)
+    out[order] = log_p
+    if back:
+        in_order = np.empty_like(dh)
+        in_order[order] = dh
+        dh = in_order
+    return out, dh, g
 
 
 def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, Weights]:
@@ -137,31 +149,35 @@ def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple
     """
     s, lanes = STATE, x.shape[1]
     live = (x != END)[:, :, None].astype(np.float32)  # a document starts anew
-    gates = (m["embed"] @ m["wx"] + m["b"])[x]
-    old, new = np.empty((2, *x.shape, s), np.float32)
-    zr, un = np.empty((*x.shape, 2 * s), np.float32), np.empty((*x.shape, s), np.float32)
-    cand = np.empty_like(un)
+    table = m["embed"] @ m["wx"] + m["b"]
+    zr, cand = np.ascontiguousarray(table[:, : 2 * s])[x], np.ascontiguousarray(table[:, 2 * s :])[x]
+    w_zr, w_n = np.ascontiguousarray(m["wh"][:, : 2 * s]), np.ascontiguousarray(m["wh"][:, 2 * s :])
+    old, new, un = np.empty((3, *x.shape, s), np.float32)
     for t in range(len(x)):
-        np.multiply(state, live[t], out=old[t])
-        u = old[t] @ m["wh"]
-        un[t] = u[:, 2 * s :]
-        both = np.add(gates[t][:, : 2 * s], u[:, : 2 * s], out=zr[t])
-        np.negative(both, out=both)
-        np.exp(both, out=both)
-        both += 1
-        np.reciprocal(both, out=both)
-        c = np.multiply(both[:, s:], un[t], out=cand[t])
-        c += gates[t][:, 2 * s :]
+        o = np.multiply(state, live[t], out=old[t])
+        both, c, u = zr[t], cand[t], np.matmul(o, w_n, out=un[t])
+        both += o @ w_zr
+        sigmoid(both)
+        c += both[:, s:] * u
         np.tanh(c, out=c)
-        state = np.subtract(old[t], c, out=new[t])
+        state = np.subtract(o, c, out=new[t])
         state *= both[:, :s]
         state += c
     log_p, dh, g = outputs(new.reshape(-1, s), y.reshape(-1), m, True)
     dh = dh.reshape(new.shape)
-    z, r = zr[:, :, :s], zr[:, :, s:]
-    by_n = (1 - z) * (1 - cand * cand)
-    by_z, by_r = (old - cand) * z * (1 - z), un * r * (1 - r)
-    dg, du, later, back = np.empty_like(gates), np.empty_like(gates), np.zeros((lanes, s), np.float32), np.ascontiguousarray(m["wh"].T)
+    z, r = np.ascontiguousarray(zr[:, :, :s]), np.ascontiguousarray(zr[:, :, s:])
+    rest = 1 - z
+    by_z = old - cand
+    by_z *= z
+    by_z *= rest
+    by_n = np.multiply(cand, cand, out=cand)
+    np.subtract(1, by_n, out=by_n)
+    by_n *= rest
+    by_r = np.subtract(1, r, out=rest)
+    by_r *= r
+    by_r *= un
+    later, back = np.zeros((lanes, s), np.float32), np.ascontiguousarray(m["wh"].T)
+    dg, du = np.empty((2, *x.shape, 3 * s), np.float32)
     for t in range(len(x) - 1, -1, -1):
         d = later
         d += dh[t]
@@ -217,22 +233,30 @@ def log_likelihoods(m: Weights, token: np.ndarray, at: np.ndarray) -> np.ndarray
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[at[:-1]] = END
-    table = m["embed"] @ m["wx"] + m["b"]
     total, s = np.zeros(len(n)), STATE
+    table = m["embed"] @ m["wx"] + m["b"]
+    t_zr, t_n = np.ascontiguousarray(table[:, : 2 * s]), np.ascontiguousarray(table[:, 2 * s :])
+    w_zr, w_n = np.ascontiguousarray(m["wh"][:, : 2 * s]), np.ascontiguousarray(m["wh"][:, 2 * s :])
     state = np.zeros((len(n), s), np.float32)
     t = 0
     while t < n[0]:
         live = int(np.searchsorted(-n, -t, side="left"))
-        until = min(int(n[0]), t + int(np.clip(65_536 // live, STEPS, 1024)))
+        until = min(int(n[0]), t + int(np.clip(16_384 // live, 1, 1024)))
         hs, ys, of = [], [], []
         for k in range(t, until):
             b = int(np.searchsorted(-n, -k, side="left"))
             place = start[:b] + k
-            g, h = table[before[place]], state[:b]
-            u = h @ m["wh"]
-            zr = sigmoid(g[:, : 2 * s] + u[:, : 2 * s])
-            new = np.tanh(g[:, 2 * s :] + zr[:, s:] * u[:, 2 * s :])
-            new += zr[:, :s] * (h - new)
+            x, h = before[place], state[:b]
+            zr, c = t_zr[x], t_n[x]
+            zr += h @ w_zr
+            sigmoid(zr)
+            u = h @ w_n
+            u *= zr[:, s:]
+            c += u
+            np.tanh(c, out=c)
+            new = np.subtract(h, c, out=u)
+            new *= zr[:, :s]
+            new += c
             state[:b] = new
             hs.append(new)
             ys.append(token[place])
@@ -273,12 +297,27 @@ class Vocabulary:
     #: log10 of the sum of each class of other words.
     tail_log: np.ndarray
 
+    def __post_init__(self):
+        # Where the hashes of each beginning start, so that looking up is a few comparisons.
+        begins = self.hash >> np.uint64(64 - FIRST_BITS)
+        self.first = np.searchsorted(begins, np.arange(1 << FIRST_BITS, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.unique(begins, return_counts=True)[1].max()) if len(begins) else 0
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token and whether it is held."""
         if not len(self.hash):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return at, self.hash[at] == h
+        at, last = self.first[h >> np.uint64(64 - FIRST_BITS)], len(self.hash) - 1
+        at = np.minimum(at, last)
+        held = self.hash[at] == h
+        open_ = np.flatnonzero(~held)
+        for k in range(1, self.most):
+            next_ = np.minimum(at[open_] + 1, last)
+            at[open_] = next_
+            found = self.hash[next_] == h[open_]
+            held[open_] = found
+            open_ = open_[~found & (self.hash[next_] < h[open_])]
+        return at, held
 
     def numbers(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The network's number of each token, its place here, and whether it is held."""
@@ -289,6 +328,11 @@ class Vocabulary:
         return number, at, held
 
 
+def told(v: Vocabulary) -> dict:
+    """What a task makes the vocabulary from."""
+    return {f.name: getattr(v, f.name) for f in fields(v)}
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """h, cls, n: each token of the texts, by hash, with its beginning's class and its count."""
 
@@ -360,12 +404,12 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     held = held.sort_values("h")
     v = Vocabulary(held["h"].to_numpy(np.uint64), held["h"].map(number).fillna(-1).to_numpy(np.int64), np.log10(held["n"].to_numpy(float) + 1), int(classes["n"].sum()), int(classes["words"].sum()), np.log10(n + words + 1))
     heads = word_n.reshape(HEADS, EACH)
-    return v, np.log(np.concatenate([heads.sum(1), n + 1, [ends]]) + 0.5), np.log(heads + 0.01)
+    return v, np.log(np.maximum(np.concatenate([heads.sum(1), n + 1, [max(ends, 0.5)]]), NONE)), np.log(np.maximum(heads, NONE))
 
 
 def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scratch: Scratch) -> Weights:
     """Weights after the rounds. Each document is learned from in one of them; a task's tokens are its part of a round's documents."""
-    known = spark.sparkContext.broadcast(vars(v))
+    known = spark.sparkContext.broadcast(told(v))
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(m)
 
@@ -412,10 +456,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = scratch.keep(count_tokens(training))
     v, class_log, word_log = vocabulary(counts)
     m = trained(spark, training, v, fresh(class_log, word_log), scratch)
-    known, net = spark.sparkContext.broadcast(vars(v)), spark.sparkContext.broadcast(m)
+    known, net = spark.sparkContext.broadcast(told(v)), spark.sparkContext.broadcast(m)
 
-    def scored(rows: list[pa.RecordBatch], texts: list[bytes], first: int) -> pa.RecordBatch:
-        v = Vocabulary(**known.value)
+    def scored(rows: list[pa.RecordBatch], texts: list[bytes], first: int, v: Vocabulary) -> pa.RecordBatch:
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         numbers, ats, rare, times, known_n, base, tail = [], [np.zeros(1, np.int64)], [], [], [], [], []
         for begin in range(0, len(texts), 512):
@@ -441,18 +484,18 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "own", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, texts, size, done = [], [], 0, 0
+        rows, texts, size, done, v = [], [], 0, 0, Vocabulary(**known.value)
         for batch in batches:
             for part, some in pieces(batch):
                 rows.append(part.drop_columns("text"))
                 texts += some
                 size += sum(map(len, some))
                 if size >= ABREAST:
-                    yield scored(rows, texts, done)
+                    yield scored(rows, texts, done, v)
                     done += len(texts)
                     rows, texts, size = [], [], 0
         if texts:
-            yield scored(rows, texts, done)
+            yield scored(rows, texts, done, v)
 
     texts = docs.select("doc_id", is_remainder(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
     own = scratch.keep(texts.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_held long, logs double, own double, rare array<long>, times array<long>"))

@@ -54,7 +54,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_licenses.licenses(table(spark, sf_dir, "documents")).drop("alternatives")
+    return op9_licenses.licenses(table(spark, sf_dir, "documents")).drop("expressions")
 
 
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

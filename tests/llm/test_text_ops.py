@@ -193,9 +193,33 @@ def test_licenses(spark):
     for i, t in enumerate(texts):
         assert tuple(by[i])[1:6] == plain_scan(t), i
         assert set(by[i]["base_labels"].split(",")) - {""} <= set(by[i]["labels"].split(",")) and 0 <= by[i]["score"] <= 1
-    assert by[2]["labels"] == "apache-2.0,gpl-2.0 with classpath-exception-2.0,mit"
-    assert [sorted(a) for a in by[2]["alternatives"]] == [["gpl-2.0 with classpath-exception-2.0", "mit"], ["apache-2.0", "gpl-2.0 with classpath-exception-2.0"]]
-    assert by[3]["labels"] == "unparsed"
+    assert by[2]["labels"] == "apache-2.0,gpl-2.0 with classpath-exception-2.0,mit,terms:weak-copyleft" and by[2]["terms"] == "weak-copyleft"
+    assert by[2]["expressions"] == ["mit apache-2.0 or gpl-2.0 classpath-exception-2.0 with and"]
+    assert by[3]["labels"] == "unparsed" and by[3]["terms"] is None
+    assert op9_licenses.licenses(docs(spark, [])).count() == 0
+
+
+def _scan(expression):
+    return op9_licenses.scan(f"x y\n// SPDX-License-Identifier: {expression}\nGPL-3.0".encode(), op9_licenses.automaton())
+
+
+def test_the_value_of_an_expression_decides():
+    both, either = _scan("MIT AND GPL-2.0"), _scan("MIT OR GPL-2.0")
+    assert both[7] == "strong-copyleft" and either[7] == "permissive" and both[5] != either[5] and both[6] > either[6]
+    assert _scan("(a OR MIT) AND (b OR BSD-3-Clause)")[7] == "permissive" and _scan("LGPL-2.1 AND nobody-knows")[7] == "restricted"
+    assert _scan("CC-BY-4.0")[7] == "permissive" and _scan("CC-BY-NC-4.0")[7] == "restricted"
+    many = " AND ".join(f"(a{i} OR b{i})" for i in range(40))  # 2 to the power of 40 alternatives
+    assert _scan(many)[7] == "restricted" and len(_scan(many)[5].split(",")) == 81
+    assert _scan(" OR ".join(["MIT"] * 50_000))[7] == "permissive"
+    seven = op9_licenses.alternatives(" AND ".join(f"(a{i} OR b{i})" for i in range(7)))
+    assert len(seven) == 128 and all(len(x) == 7 for x in seven)
+
+
+def test_tags_are_read_where_they_stand():
+    find = op9_licenses.automaton()
+    assert op9_licenses.scan(b"spdx license identifier: MIT", find)[7] is None  # the words, but no tag
+    two = op9_licenses.scan("é SPDX-License-Identifier:MIT\r\nspdx license identifier SPDX-LICENSE-IDENTIFIER: GPL-2.0".encode(), find)
+    assert two[7] == "strong-copyleft" and two[8] == ["mit", "gpl-2.0"]
 
 
 def test_licenses_of_the_table(spark):
