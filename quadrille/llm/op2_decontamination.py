@@ -1,15 +1,17 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are sets of hashed five-word shingles (words are lower-cased letters and digits). Items are partitioned by size; in a
-partition of sets of up to u shingles, an item's signature is its k smallest shingle hashes, k = u - ceil(0.8 u) + 1. A document
-that holds 0.8 of an item's shingles lacks fewer than k of them, so it holds one of the signature: a long document is searched by
-membership of its own shingles, no matter how long it is, and no pair is missed. Pairs found so are verified by counting the
-item's shingles in the document.
-
-Items with the same set are one class, named by its smallest item_id, with the number of items. Items of fewer than five words
-are one shingle, their whole sequence, which only a text of the same words holds. Null and empty texts hold nothing and match
-nothing. Null ids: a document's matches are reported with a null id; a class without any id is item -1. Repeated document rows:
-one result each. Extra columns aren't read.
+Items are sets of hashed five-word shingles (words are lower-cased letters and digits). Items are partitioned by size. In a
+partition of sets of up to u shingles an item may lack m = u - ceil(0.8 u) of them; its signature is its m + r smallest shingle
+hashes, r = 1 + u // 10 (all of them, if it has no more). A document's sketch for the partition is its own shingle hashes up to the
+largest that any signature of the partition holds. An item of which a document holds 0.8 lacks m at most, so r of its signature (or
+all but m of a shorter one) are in the sketch, no matter how long the document is, and no pair is missed. Pairs found so are
+verified by counting the item's shingles in the document.
+
+Items with the same set are one class, named by its smallest item_id, with the number of items. An item of fewer than five words is
+one shingle, their whole sequence, which is looked for in all texts: documents are also cut in windows of each such length that
+occurs. Null and empty texts hold nothing and match nothing. Null ids: a document's matches are reported with a null id; a class
+without any id is item -1. Repeated document rows: one result each. A very long text is searched whole. An empty table on either
+side gives no rows. Extra columns, of any name, aren't read.
 """
 
 from __future__ import annotations
@@ -31,9 +33,16 @@ GROWTH = 1.25
 MAX_HELD = 4_000_000
 
 
-def signature_length(n: np.ndarray | int) -> np.ndarray | int:
-    """k for sets of up to n shingles."""
-    return n - (PERCENT * n + 99) // 100 + 1
+def allowed(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles of a set of n that a document may lack."""
+    return n - (PERCENT * n + 99) // 100
+
+
+def signature(n: int) -> tuple[int, int]:
+    """Length of the signature of a set of n shingles, and how many of it any match has in its sketch."""
+    u = partition_bound(n)
+    length = min(n, allowed(u) + 1 + u // 10)
+    return length, length - allowed(n)
 
 
 def partition_bound(n: int) -> int:
@@ -44,47 +53,73 @@ def partition_bound(n: int) -> int:
     return u
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    w = Words(texts, ALNUM)
-    h = w.hashes()
-    return [np.unique(shingles(h[a:b], SHINGLE)) for a, b in zip(w.at[:-1], w.at[1:])]
+def windows(h: np.ndarray, short: tuple[int, ...]) -> np.ndarray:
+    """Shingles of a document, given its words' hashes, and its windows of the lengths of short items."""
+    own = [shingles(h, SHINGLE)] if len(h) >= SHINGLE else []
+    return np.concatenate([*own, *(shingles(h, k) for k in short if k <= len(h)), h[:0]])
 
 
 def item_shingles(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """cls (a hash of the set), item_id, n (shingles), copies, shingle, signed (whether it is of the signature)."""
+    """Rows of ITEM: each shingle of each class of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                sets = [(i, s) for i, s in zip(part.column("item_id").to_pylist(), shingle_sets(texts)) if len(s)]
-                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i for i, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int32()), "held": pa.array([s.astype("<u8").tobytes() for _, s in sets], pa.binary())})
+                w = Words(texts, ALNUM)
+                h = w.hashes()
+                sets = [(i, min(b - a, SHINGLE), np.unique(shingles(h[a:b], SHINGLE))) for i, a, b in zip(part.column("item_id").to_pylist(), w.at[:-1], w.at[1:]) if b > a]
+                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i for i, _, _ in sets], pa.int64()), "words": pa.array([k for _, k, _ in sets], pa.int32()), "n": pa.array([len(s) for *_, s in sets], pa.int32()), "held": pa.array([s.astype("<u8").tobytes() for *_, s in sets], pa.binary())})
 
-    sets = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id long, n int, held binary")
-    classes = scratch.keep(sets.groupBy("held", "n").agg(F.coalesce(F.min("item_id"), F.lit(-1)).alias("item_id"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("held", "n")))
+    sets = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id long, words int, n int, held binary")
+    classes = scratch.keep(sets.groupBy("held", "n", "words").agg(F.coalesce(F.min("item_id"), F.lit(-1)).alias("item_id"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("held", "n", "words")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, i, n, copies, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "item_id", "n", "copies", "held"))):
-                k = signature_length(partition_bound(n))
-                yield pa.RecordBatch.from_pydict({"cls": pa.array([cls] * n, pa.int64()), "item_id": pa.array([i] * n, pa.int64()), "n": pa.array([n] * n, pa.int32()), "copies": [copies] * n, "shingle": np.frombuffer(held, "<i8"), "signed": np.arange(n) < k})
+            for cls, i, words, n, copies, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "item_id", "words", "n", "copies", "held"))):
+                length, least = signature(n)
+                same = {"cls": pa.int64(), "item_id": pa.int64(), "words": pa.int32(), "n": pa.int32(), "copies": pa.int64(), "least": pa.int32(), "bound": pa.int32()}
+                values = dict(zip(same, (cls, i, words, n, copies, least, partition_bound(n))))
+                yield pa.RecordBatch.from_pydict({**{c: pa.array([values[c]] * n, t) for c, t in same.items()}, "shingle": np.frombuffer(held, "<i8"), "signed": np.arange(n) < length})
+
+    return classes.mapInArrow(spread, ITEM)
 
-    return classes.mapInArrow(spread, "cls long, item_id long, n int, copies long, shingle long, signed boolean")
+
+#: least: of the signature, how many a match has; bound: the partition.
+ITEM = "cls long, item_id long, words int, n int, copies long, least int, bound int, shingle long, signed boolean"
 
 
 class Items:
-    """Items that a task holds: class by number, shingles in order."""
+    """Items that a task holds: class by number, shingles in order, and the partitions' signatures."""
 
     def __init__(self, rows):
-        rows = rows.sort_values(["item_id", "cls", "shingle"])
+        rows = rows.assign(shingle=rows["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values(["item_id", "cls", "shingle"])
         key = rows.groupby(["item_id", "cls"], sort=False).ngroup().to_numpy()
-        shingle = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+        shingle, signed = rows["shingle"].to_numpy(np.uint64), rows["signed"].to_numpy(bool)
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.ids, self.copies = rows["item_id"].iloc[first].tolist(), rows["copies"].iloc[first].tolist()
+        self.least = rows["least"].to_numpy(np.int64)[first]
         self.sets = np.split(shingle, first[1:]) if len(first) else []
-        order = np.argsort(shingle[rows["signed"].to_numpy(bool)], kind="stable")
-        self.signed, self.of = shingle[rows["signed"].to_numpy(bool)][order], key[rows["signed"].to_numpy(bool)][order]
+        self.short = tuple(sorted(set(rows["words"].iloc[first].tolist()) - {SHINGLE}))
+        #: For each partition the signatures' shingles in order, their items, and the largest one.
+        self.partitions = []
+        for bound in np.unique(rows["bound"].to_numpy()):
+            at = np.flatnonzero(signed & (rows["bound"].to_numpy() == bound))
+            at = at[np.argsort(shingle[at], kind="stable")]
+            self.partitions.append((shingle[at], key[at], shingle[at[-1]]))
         self.some = np.zeros(1 << 20, bool)
-        self.some[self.signed >> np.uint64(44)] = True
+        self.some[shingle[signed] >> np.uint64(44)] = True
+
+    def candidates(self, likely: np.ndarray) -> np.ndarray:
+        """Classes of whose signatures a sketch holds enough. likely: distinct shingles in order, less those that are in no signature."""
+        met = []
+        for shingle, of, top in self.partitions:
+            sketch = likely[: np.searchsorted(likely, top, "right")]
+            lo, hi = np.searchsorted(shingle, sketch, "left"), np.searchsorted(shingle, sketch, "right")
+            found = [of[i:j] for i, j in zip(lo, hi) if j > i]
+            if found:
+                cls, hits = np.unique(np.concatenate(found), return_counts=True)
+                met.append(cls[hits >= self.least[cls]])
+        return np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
 
     def matches(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """(class, shingles held) of each text."""
@@ -92,10 +127,9 @@ class Items:
         h = w.hashes()
         out = []
         for a, b in zip(w.at[:-1], w.at[1:]):
-            s = shingles(h[a:b], SHINGLE)
-            likely = s[self.some[s >> np.uint64(44)]]
-            lo, hi = np.searchsorted(self.signed, likely, "left"), np.searchsorted(self.signed, likely, "right")
-            met = np.unique(np.concatenate([self.of[i:j] for i, j in zip(lo, hi) if j > i])) if (hi > lo).any() else []
+            s = windows(h[a:b], self.short)
+            likely = np.unique(s[self.some[s >> np.uint64(44)]])
+            met = self.candidates(likely) if len(likely) else []
             found = []
             if len(met):
                 held = np.unique(s)
@@ -111,19 +145,14 @@ class Items:
 PAIRS = "item_id long, n_item long, n_copies long, n_held long, containment double"
 
 
-def _held(items: DataFrame) -> tuple[DataFrame, bool]:
-    kept = items.select("cls", "item_id", "n", "copies", "shingle", "signed")
-    return kept, kept.limit(MAX_HELD + 1).count() <= MAX_HELD
-
-
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), item_id, n_item, n_copies, n_held, containment: a row for each document and class of items of which it holds 0.8 or more."""
     scratch = Scratch(spark, "decontaminate")
-    held, small = _held(scratch.keep(item_shingles(items, scratch)))
+    held = scratch.keep(item_shingles(items, scratch))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    if not small:
-        return search_dealt(texts, held, kind)
+    if held.limit(MAX_HELD + 1).count() > MAX_HELD:
+        return search_dealt(texts, held, kind, scratch)
     known = spark.sparkContext.broadcast(held.toPandas())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,28 +168,42 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, text_key long, {PAIRS}")
 
 
-def search_dealt(texts: DataFrame, held: DataFrame, kind: str, salts: int = 16) -> DataFrame:
-    """As search(), for any number of items: distinct shingles of each row, under a salt of the row, meet the signatures; pairs found so meet all shingles of their items."""
+def search_dealt(texts: DataFrame, held: DataFrame, kind: str, scratch: Scratch, salts: int = 16) -> DataFrame:
+    """As search(), for any number of items: sketches of distinct texts, under a salt of the text, meet the signatures; the texts of pairs found so are read again, with all shingles of their items beside them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts of one key are one, so that a text that was copied often is searched once.
+    """
+    short = tuple(sorted(r["words"] for r in held.select("words").distinct().collect() if r["words"] < SHINGLE))  # lengths under five
+    top = held.where("signed").agg(F.max(F.shiftrightunsigned("shingle", 1)).alias("top")).first()["top"] or 0
+
+    def run(batches: Iterator[pa.RecordBatch], only: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in pieces(batch):
-                sets = shingle_sets(some)
-                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("salt").take(at), pa.array(np.concatenate(sets).view(np.int64))], ["row", "salt", "shingle"])
-
-    rows = texts.withColumn("row", F.struct("doc_id", "text_key")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)))
-    own = rows.select("row", "salt", "text").mapInArrow(run, f"row struct<doc_id:{kind},text_key:bigint>, salt long, shingle long")
-    each = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = own.join(each.where("signed"), ["salt", "shingle"]).select("row", "salt", "cls", "item_id", "n", "copies").distinct()
-    counted = pairs.join(each.drop("signed"), ["salt", "cls", "item_id", "n", "copies"]).join(own.distinct(), ["row", "salt", "shingle"])
-    found = counted.groupBy("row", "cls", "item_id", "n", "copies").agg(F.count("*").alias("n_held")).where(F.col("n_held") * 100 >= F.col("n") * PERCENT)
-    found = found.join(rows.select("row"), "row")  # once for each repeated row
-    return found.select("row.doc_id", "row.text_key", "item_id", F.col("n").cast("long").alias("n_item"), F.col("copies").alias("n_copies"), "n_held", (F.col("n_held") / F.col("n")).alias("containment"))
+                w = Words(some, ALNUM)
+                h = w.hashes()
+                sets = [np.unique(windows(h[a:b], short)) for a, b in zip(w.at[:-1], w.at[1:])]
+                sets = [s[: np.searchsorted(s >> np.uint64(1), np.uint64(top), "right")] for s in sets] if only else sets
+                which = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("text_key").take(which), pa.array(np.concatenate([*sets, h[:0]]).view(np.int64))], ["text_key", "shingle"])
+
+    salt = F.pmod(F.xxhash64("text_key", F.lit("salt")), F.lit(salts))
+    own = texts.select("text_key", "text").mapInArrow(lambda b: run(b, True), "text_key long, shingle long").distinct().withColumn("salt", salt)
+    signed = held.where("signed").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hits = own.join(signed, ["salt", "shingle"]).groupBy("text_key", "cls", "item_id", "n", "copies", "least").agg(F.count("*").alias("hits"))
+    pairs = scratch.keep(hits.where("hits >= least").select("text_key", "cls", "item_id", "n", "copies"))
+    found = pairs.select("text_key").distinct()
+    whole = texts.join(broadcast_if(found, 500_000), "text_key", "left_semi").select("text_key", "text")
+    whole = whole.mapInArrow(lambda b: run(b, False), "text_key long, shingle long").distinct()
+    counted = pairs.join(held.select("cls", "item_id", "shingle"), ["cls", "item_id"]).join(whole, ["text_key", "shingle"])
+    good = counted.groupBy("text_key", "item_id", "cls", "n", "copies").agg(F.count("*").alias("n_held")).where(F.col("n_held") * 100 >= F.col("n") * PERCENT)
+    out = texts.select("doc_id", "text_key").join(broadcast_if(good, 500_000), "text_key")  # once for each repeated row
+    return out.select("doc_id", "text_key", "item_id", F.col("n").cast("long").alias("n_item"), F.col("copies").alias("n_copies"), "n_held", (F.col("n_held") / F.col("n")).alias("containment"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
+    """The rows of docs, all columns (of any names), that hold no item. An empty table of items leaves all."""
     scratch = Scratch(spark, "contaminated")
     bad = scratch.keep(search(spark, docs, items).select(F.col("text_key").alias("bad_text_key")).distinct())
-    return docs.join(broadcast_if(bad, 500_000), F.xxhash64(docs["text"]) == bad["bad_text_key"], "left_anti")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    return plain.join(broadcast_if(bad, 500_000), F.xxhash64(plain[names[docs.columns.index("text")]]) == bad["bad_text_key"], "left_anti").toDF(*docs.columns)
