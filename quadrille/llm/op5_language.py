@@ -5,7 +5,9 @@ estimates the proportions for the whole text; among nested sets of languages, th
 for each language is taken, and the largest proportion in it names the text.
 
 Null texts and texts without a letter: `und`, score 0. Null doc_id: neither learned from nor held out. No rows to learn
-from: every text is `und`. Repeated rows: judged alike, one result each. Only the columns doc_id, text and lang are read.
+from: every text is `und`. Repeated rows: judged alike, one result each. Ties go to the language that is first by name. A very
+long text is judged by all of its trigrams; an empty table gives no rows. Sets grow by the next likely language until two larger
+ones in a row aren't better, whatever the number of languages. Only the columns doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .textvec import LOWER, PLAIN, pieces
 
 #: Hashed trigrams; documents of each language to learn from, about (the bound of the sample).
 BUCKETS, PER_LANGUAGE = 2048, 800
-#: Weight of log(trigrams) for each further language; rounds of expectation-maximisation; largest set of languages.
-PENALTY, ROUNDS, MOST = 4.0, 12, 3
+#: Weight of log(trigrams) for each further language; rounds of expectation-maximisation; larger sets in a row that may fail before a text's search ends.
+PENALTY, ROUNDS, FAILS = 4.0, 12, 2
 #: Languages whose rates are told to all tasks; more are joined by shuffle.
 MAX_LANGUAGES = 10_000
 ROWS = 256
@@ -91,7 +93,7 @@ def mixtures(grams: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     n = np.maximum(c.sum(1), 1)
     languages = len(log_p)
 
-    def settle(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def settle(share: np.ndarray, rounds: int, c: np.ndarray = c) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(rounds):
             share = share * ((c / (share @ p + 1e-30)) @ p.T)
             share /= np.maximum(share.sum(1, keepdims=True), 1e-30)
@@ -103,10 +105,18 @@ def mixtures(grams: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     if languages > 1:
         share, _ = settle(np.full((len(c), languages), 1 / languages, np.float32), ROUNDS)
         rank = (-share).argsort(1, kind="stable").argsort(1)
-        for k in range(2, min(MOST, languages) + 1):
-            some, likely = settle(np.where(rank < k, share, 0) / np.maximum(np.where(rank < k, share, 0).sum(1, keepdims=True), 1e-30), ROUNDS // 2)
-            better = (new := likely - PENALTY * k * np.log(n)) > value
-            best[better], value[better] = some[better], new[better]
+        failed = np.zeros(len(c), np.int64)
+        open_ = np.arange(len(c))
+        for k in range(2, languages + 1):
+            some = np.where(rank[open_] < k, share[open_], 0)
+            some, likely = settle(some / np.maximum(some.sum(1, keepdims=True), 1e-30), ROUNDS // 2, c[open_])
+            new = likely - PENALTY * k * np.log(n[open_])
+            better = new > value[open_]
+            best[open_[better]], value[open_[better]] = some[better], new[better]
+            failed[open_] = np.where(better, 0, failed[open_] + 1)
+            open_ = open_[failed[open_] < FAILS]
+            if not len(open_):
+                break
     return best
 
 
@@ -136,12 +146,16 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Mixture, least: float = 0.35) -> DataFrame:
-    """The rows of docs, all columns, that are in one language for least of their text; `und` is rejected."""
+    """The rows of docs, all columns (of any names), that are in one language for least of their text; `und` is rejected."""
+    at = f"_{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, rows=ROWS):
+            batch = batch.rename_columns([f"_{i}" for i in range(batch.num_columns)])
+            for part, texts in pieces(batch, at, rows=ROWS):
                 named, score, _ = judge(texts, model)
                 yield part.filter(pa.array((np.array(named) != "und") & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
