@@ -2,15 +2,18 @@
 
 A host is turned round, label by label, so that a rule's host and all its subdomains are one interval of keys. Urls are dealt
 by key ranges and sorted; a sweep over both sorted lists keeps a stack of the rules whose interval holds the present key, which
-are nested in each other. Among those whose path starts the url's path, the longest rule (host and path together) wins; of equal
-length the one with the longer host, of equal rules `block`.
+are nested in each other. The paths of a host's rules are intervals too, found by a search and the intervals around. Among rules
+whose path starts the url's path, the longest (host and path together) wins; of equal length the one with the longer host, of equal
+rules `block`.
 
 Null urls and urls without `://`: host and path are empty, no rule fits. Urls that no rule fits: the default verdict. Repeated
-rows: one result each. No rules: all rows get the default verdict. Other columns of the table aren't read.
+rows: one result each. No rules: all rows get the default verdict. Very long urls are judged whole; an empty table gives no rows.
+Other columns of the table, of any name, aren't read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,6 +55,31 @@ def better(rule: Rule) -> tuple:
     return len(rule.text), len(rule.host), rule.verdict == "block"
 
 
+class Paths:
+    """Rules of one host: a path's prefix is an interval of paths, and intervals are nested or apart. Of each, the one around it is known."""
+
+    def __init__(self, rules: list[Rule]):
+        best: dict[str, Rule] = {}
+        for r in sorted(rules, key=better):
+            best[r.path] = r
+        self.starts = sorted(best)
+        self.rules = [best[p] for p in self.starts]
+        self.around: list[int] = []
+        stack: list[int] = []
+        for i, start in enumerate(self.starts):
+            while stack and not start.startswith(self.starts[stack[-1]]):
+                stack.pop()
+            self.around.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def best(self, path: str) -> Rule | None:
+        """The innermost interval that holds the path: that of the last start before it, or one around that."""
+        i = bisect_right(self.starts, path) - 1
+        while i >= 0 and not path.startswith(self.starts[i]):
+            i = self.around[i]
+        return self.rules[i] if i >= 0 else None
+
+
 class Sweep:
     """Goes through keys in rising order; rules of a host lie on the stack while keys are in its interval."""
 
@@ -60,7 +88,7 @@ class Sweep:
         for r in rules:
             hosts.setdefault(turned(r.host), []).append(r)
         self.starts = sorted(hosts)
-        self.hosts = {k: sorted(v, key=better, reverse=True) for k, v in hosts.items()}
+        self.hosts = {k: Paths(v) for k, v in hosts.items()}
         self.next = 0
         self.stack: list[str] = []
 
@@ -75,7 +103,7 @@ class Sweep:
             self.stack.pop()
 
     def best(self, path: str) -> Rule | None:
-        fits = [next((r for r in self.hosts[k] if path.startswith(r.path)), None) for k in self.stack]
+        fits = [self.hosts[k].best(path) for k in self.stack]
         return max((r for r in fits if r), key=better, default=None)
 
 
