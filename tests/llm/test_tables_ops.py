@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadrille.llm import op2_decontamination as op2
 from quadrille.llm import op3_gru as op3
@@ -27,24 +28,26 @@ SF = f"{DATA}/sf0.001"
 # Decontamination
 
 
-def shingle_set(text):
+def plain_words(text):
     import re
 
-    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
 
 
 def plain_pairs(rows, items):
-    held, classes = [(i, shingle_set(t)) for i, t in rows], defaultdict(list)
+    """Items of fewer than five words are one shingle, of their length."""
+    held, classes = [(i, plain_words(t)) for i, t in rows], defaultdict(list)
     for i, t in items:
-        if s := shingle_set(t):
-            classes[frozenset(s)].append(i)
+        if w := plain_words(t):
+            k = min(5, len(w))
+            classes[k, frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))].append(i)
     out = []
-    for s, ids in classes.items():
+    for (k, s), ids in classes.items():
         own = [i for i in ids if i is not None]
-        for i, d in held:
-            if 100 * len(s & d) >= 80 * len(s):
-                out.append((i, min(own, default=-1), len(s), len(ids), len(s & d)))
+        for i, w in held:
+            n = len(s & {tuple(w[j : j + k]) for j in range(len(w) - k + 1)})
+            if 100 * n >= 80 * len(s):
+                out.append((i, min(own, default=-1), len(s), len(ids), n))
     return sorted(out, key=str)
 
 
@@ -55,7 +58,7 @@ def test_pairs(spark, monkeypatch, dealt):
     r = random.Random(2)
     item = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
     items = [(i, item(r.randrange(1, 50))) for i in range(30)]
-    items += [(30, items[3][1].upper()), (31, items[3][1] + "!"), (None, items[4][1]), (None, "only here, twice"), (32, ""), (33, None), (3, "the same id, other words of an item")]
+    items += [(30, items[3][1].upper()), (31, items[3][1] + "!"), (None, items[4][1]), (None, "only here, twice"), (32, ""), (33, None), (34, "secret phrase here"), (35, "w1"), (36, "w2 w3"), (37, "Secret, phrase HERE!"), (3, "the same id, other words of an item")]
     rows = []
     for i in range(60):
         w = item(r.randrange(0, 300)).split()
@@ -66,7 +69,7 @@ def test_pairs(spark, monkeypatch, dealt):
             at = r.randrange(len(w) + 1)
             w[at:at] = own
         rows.append((i, ", ".join(w)))
-    rows += [(60, items[5][1]), (60, items[5][1]), (None, items[6][1]), (61, None), (62, ""), (63, "Only here twice")]
+    rows += [(60, items[5][1]), (60, items[5][1]), (None, items[6][1]), (61, None), (62, ""), (63, "Only here twice"), (64, "a b c secret phrase here d e f g"), (65, "phrase here"), (66, " ".join(f"u{i}" for i in range(30_000)) + " secret phrase here " + items[7][1])]
     table_ = spark.createDataFrame(items, "item_id long, text string")
     got = op2.search(spark, docs(spark, [(i, t, "en", "a") for i, t in rows], True), table_)
     found = [(x["doc_id"], x["item_id"], x["n_item"], x["n_copies"], x["n_held"]) for x in got.collect()]
@@ -84,10 +87,21 @@ def test_pairs_of_the_tables(spark):
     assert sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_copies"], r["n_held"]) for r in got), key=str) == plain_pairs([(r["doc_id"], r["text"]) for r in d], [(r["item_id"], r["text"]) for r in b])
 
 
-@given(st.integers(1, 400))
-def test_signatures_are_long_enough(n):
-    need = -(-80 * n // 100)
-    assert op2.signature_length(op2.partition_bound(n)) >= n - need + 1
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.randoms(use_true_random=False))
+def test_signatures_are_long_enough(n, r):
+    length, least = op2.signature(n)
+    assert 1 <= least <= length <= n
+    lacks = set(r.sample(range(n), n - -(-80 * n // 100)))
+    assert sum(i not in lacks for i in range(length)) >= least
+
+
+def test_clean_of_clashing_columns_and_empty_tables(spark):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    rows = docs(spark, [(1, "x a b c d e f", "en", "a"), (2, "other", "en", "a"), (3, None, None, None)]).withColumns({c: F.lit("z") for c in ("bad_text_key", "item_id", "n_held", "_0")})
+    out = op2.clean(spark, rows, items)
+    assert out.columns == rows.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3]
+    assert op2.clean(spark, rows, items.limit(0)).count() == 3 and op2.clean(spark, rows.limit(0), items).count() == 0
 
 
 # Language model
@@ -410,17 +424,51 @@ def test_mix(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    got = op8.mix(spark, docs(spark, odd_rows(), True), ["doc_id", "text", "size"])
-    assert got.columns == ["text", "size", "doc_id", "size", "source_size", "target", "taken"] and len(got.collect()) == len(odd_rows())
+    rows = docs(spark, odd_rows(), True).withColumn("kept_size", F.lit("also"))
+    got = op8.mix(spark, rows, ["doc_id", "text", "size", "kept_size", "taken"])
+    assert got.columns == ["text", "kept_kept_size", "kept_size", "kept_taken", "doc_id", "size", "source_size", "target", "taken"] and len(got.collect()) == len(odd_rows())
+    assert {(r["kept_kept_size"], r["kept_size"], r["kept_taken"]) for r in got.collect()} == {("other", "also", "other")}
     same = docs(spark, [(1, "a b c", "en", "s")] * 9 + [(2, "a", "en", "t")])
     rows = rows_of(op8.mix(spark, same))
     assert len(rows) == 10 and all(r[4] <= 2 * r[1] for r in rows)
     assert rows_of(op8.mix(spark, docs(spark, []))) == []
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Sources dealt under salts give the same as sources told to all tasks."""
+    r = random.Random(11)
+    df = docs(spark, [(i, " ".join("w" for _ in range(r.randrange(30))), "en", f"s{r.randrange(60)}" if i % 3 else "hot") for i in range(500)])
+    told = rows_of(op8.mix(spark, df))
+    monkeypatch.setattr(op8, "MAX_TOLD", 0)
+    assert sorted(rows_of(op8.mix(spark, df))) == sorted(told)
+
+
 # Pipeline
 
 
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, very long texts, columns named as the stages' own, and an empty table, through each stage and all of them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"the word {i % 977} of tail{i % 31}" for i in range(8000))
+    rows = odd_rows() + [(50 + i, f"the quick brown fox number {i} jumps over the lazy dog and runs into the woods where it finds some other animals of number {i}\n{long[:4000]}", "en", "a") for i in range(4)]
+    names = ["taken", "size", "target", "source_size", "gone", "again", "bad_text_key", "host", "k1", "left", "frequent", "split", "_0", "_3", "cls", "rows"]
+    for some in (rows, []):
+        df = docs(spark, some).withColumns({c: F.lit(c) for c in names})
+        folder = tmp_path / str(len(some))
+        df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        table(spark, SF, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(folder))
+            assert len(set(out.columns)) == len(out.columns), name
+            assert name == "mixture" or out.columns == now.columns, name
+            assert out.count() <= now.count()
+            for r in out.collect():
+                assert all(r[c] == c for c in names if c not in ("taken", "size", "target", "source_size") or name != "mixture"), name
+        got = corpus_pipeline.run(spark, str(folder))
+        assert {"taken", "kept_taken", "size", "kept_size"} <= set(got.columns) and (got.count() > 0) == bool(some)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from .test_op7 import brute

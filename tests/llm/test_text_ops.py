@@ -138,6 +138,61 @@ def test_mixture_of_two(spark):
     assert {x.split(":")[0] for x in sets[0].split(",")} == {"en", "de"} and 0.35 < score[0] < 0.65
 
 
+def plain_mixture(counts, log_p):
+    """A text's proportions by expectation-maximisation, one number after another."""
+    languages, n = range(len(log_p)), max(sum(counts), 1)
+
+    def settle(share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(share)
+            for b, c in enumerate(counts):
+                if c:
+                    p = [share[j] * np.exp(float(log_p[j][b])) for j in languages]
+                    for j in languages:
+                        new[j] += c * p[j] / sum(p)
+            share = [x / max(sum(new), 1e-30) for x in new]
+        return share, sum(c * np.log(sum(share[j] * np.exp(float(log_p[j][b])) for j in languages)) for b, c in enumerate(counts) if c)
+
+    alone = [sum(c * float(log_p[j][b]) for b, c in enumerate(counts) if c) for j in languages]
+    first = max(languages, key=lambda j: alone[j])
+    best, value = [float(j == first) for j in languages], alone[first] - op5_language.PENALTY * np.log(n)
+    every, _ = settle([1 / len(log_p)] * len(log_p), op5_language.ROUNDS)
+    order, failed = sorted(languages, key=lambda j: -every[j]), 0
+    for k in range(2, len(log_p) + 1):
+        some = [every[j] if j in order[:k] else 0.0 for j in languages]
+        some, likely = settle([x / max(sum(some), 1e-30) for x in some], op5_language.ROUNDS // 2)
+        if (new := likely - op5_language.PENALTY * k * np.log(n)) > value:
+            best, value, failed = some, new, 0
+        else:
+            failed += 1
+            if failed == op5_language.FAILS:
+                break
+    return best
+
+
+def test_mixtures_by_brute_force(spark):
+    model = op5_language.fit(table(spark, SF, "documents"))
+    by = {}
+    for r in table(spark, SF, "documents").select("lang", "text").collect():
+        by[r["lang"]] = by.get(r["lang"], "") + " " + r["text"][:400] * (len(by.get(r["lang"], "")) < 9000)
+    some = [by["en"][:300], by["de"][:2500] + by["fr"][:900], " ".join(by[x][:2200] for x in sorted(by)), "ab", ""]
+    grams = op5_language.trigrams([x.encode() for x in some])
+    got = op5_language.mixtures(grams, model.log_p)
+    for counts, share in zip(grams, got):
+        assert share == pytest.approx(plain_mixture(counts.tolist(), model.log_p), abs=2e-3)
+    assert (got[2] > 0.05).sum() == 4  # four languages in one text
+
+
+def test_mixture_of_many_languages():
+    """Sets aren't limited to a few languages: here a text has as many as there are."""
+    r = np.random.default_rng(3)
+    log_p = np.log(np.eye(9, op5_language.BUCKETS).repeat(1, 0) * 0.9 + 0.1 / op5_language.BUCKETS + r.random((9, op5_language.BUCKETS)) * 1e-6).astype(np.float32)
+    grams = np.zeros((2, op5_language.BUCKETS), np.int64)
+    grams[0, :7], grams[1, 4] = 200, 50
+    share = op5_language.mixtures(grams, log_p)
+    assert (share[0] > 0.1).sum() == 7 and share[1].argmax() == 4 and share[1].max() > 0.99
+
+
 # URL rules
 
 
@@ -145,7 +200,7 @@ HOSTS = st.lists(st.sampled_from(["a", "b", "net", "example", "B", "", "x\x01"])
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(HOSTS, st.sampled_from(["", "/", "/a", "/a/b", "/b"])), max_size=25), st.lists(st.tuples(HOSTS.filter(bool), st.sampled_from(["/", "/a", "/a/", ""]), st.sampled_from(["block", "allow"])), max_size=8))
+@given(st.lists(st.tuples(HOSTS, st.sampled_from(["", "/", "/a", "/a/b", "/b", "/a/a/b"])), max_size=25), st.lists(st.tuples(HOSTS.filter(bool), st.sampled_from(["/", "/a", "/a/", "/a/a", "/b/b", ""]), st.sampled_from(["block", "allow"])), max_size=8))
 def test_sweep(urls, rules):
     rules = [op6_urls.Rule(h.lower(), p, v) for h, p, v in rules if "\x01" not in h]
     urls = [(h.lower(), p) for h, p in urls]
