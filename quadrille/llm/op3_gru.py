@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_remainder, remainder
-from .textvec import Words, mixed, pieces
+from .textvec import Words, hold, mixed, pieces
 
 #: Classes of common words and words of each; classes of other words; embedding and state.
 HEADS, EACH, TAILS, EMBED, STATE = 32, 48, 32, 24, 32
@@ -41,9 +41,9 @@ MAX_HELD = 200_000
 #: Bits of a hash by which words are found.
 FIRST_BITS = 20
 #: Rounds, among which all training documents are dealt; streams and steps of a window; rate of learning.
-ROUNDS, LANES, STEPS, RATE = 2, 256, 32, 0.009
+ROUNDS, LANES, STEPS, RATE = 2, 128, 32, 0.006
 #: Tokens of which a task counts the distinct ones before it passes counts on; bytes of text that are scored side by side.
-COUNTED, ABREAST = 4_000_000, 12 << 20
+COUNTED, ABREAST = 4_000_000, 16 << 20
 #: Bounds of what goes into a softmax, so that no exponential overflows or vanishes.
 SPAN = np.float32(60)
 #: Counts in place of zero, for classes and places without a word.
@@ -340,8 +340,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            h, first, n = np.unique(np.concatenate([x for x, _ in held]), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_pydict({"h": h.view(np.int64), "cls": np.concatenate([c for _, c in held])[first], "n": n})
+            code, h = pd.factorize(np.concatenate([x for x, _ in held]))
+            cls = np.empty(len(h), np.int32)
+            cls[code] = np.concatenate([c for _, c in held])
+            return pa.RecordBatch.from_pydict({"h": h.view(np.int64), "cls": cls, "n": np.bincount(code, minlength=len(h))})
 
         for batch in batches:
             for _, texts in pieces(batch):
@@ -414,6 +416,7 @@ def trained(spark: SparkSession, docs: DataFrame, v: Vocabulary, m: Weights, scr
         now = spark.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hold()
             v, streams = Vocabulary(**known.value), [np.array([END], np.int16)]
             for batch in batches:
                 for _, texts in pieces(batch):
@@ -460,7 +463,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def scored(rows: list[pa.RecordBatch], texts: list[bytes], first: int, v: Vocabulary) -> pa.RecordBatch:
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        numbers, ats, rare, times, known_n, base, tail = [], [np.zeros(1, np.int64)], [], [], [], [], []
+        numbers, ats, rare, times, lists, known_n, base, tail = [], [np.zeros(1, np.int64)], [], [], [], [], [], []
         for begin in range(0, len(texts), 512):
             h, cls, at = hashed(texts[begin : begin + 512])
             number, place, held = v.numbers(h, cls)
@@ -472,18 +475,25 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             known_n.append(np.add.reduceat(held, at[:-1], dtype=np.int64))
             base.append(np.add.reduceat(logs, at[:-1]))
             tail.append(np.add.reduceat(tails, at[:-1]))
-            for a, b in zip(at[:-1], at[1:]):
-                value, n = np.unique(h[a:b][~held[a:b] & (h[a:b] != END_HASH)].view(np.int64), return_counts=True)
-                rare.append(value)
-                times.append(n)
+            # Rare words of each text, once, with their number.
+            some = np.flatnonzero(~held & (h != END_HASH))
+            of = np.searchsorted(at, some, "right") - 1
+            order = np.lexsort([h[some], of])
+            value, of = h[some][order], of[order]
+            begins = np.flatnonzero(np.append(True, (np.diff(value) != 0) | (np.diff(of) != 0))) if len(value) else np.zeros(0, np.int64)
+            rare.append(value[begins].view(np.int64))
+            times.append(np.diff(np.append(begins, len(value))))
+            lists.append(np.bincount(of[begins], minlength=len(at) - 1))
         at = np.concatenate(ats)
-        likely = log_likelihoods(net.value, np.concatenate(numbers).astype(np.int64), at) / np.log(10)
+        likely = log_likelihoods(net.value, np.concatenate(numbers).astype(np.int32), at) / np.log(10)
+        ends = pa.array(np.append(0, np.cumsum(np.concatenate(lists))), pa.int32())
         row = (TaskContext.get().partitionId() << 36) + first + np.arange(len(texts))
-        return pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(np.concatenate(known_n)), pa.array(np.concatenate(base)), pa.array(likely + np.concatenate(tail)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at)), pa.array(np.concatenate(known_n)), pa.array(np.concatenate(base)), pa.array(likely + np.concatenate(tail)), *(pa.ListArray.from_arrays(ends, np.concatenate(x).astype(np.int64)) for x in (rare, times))], names)
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "own", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         rows, texts, size, done, v = [], [], 0, 0, Vocabulary(**known.value)
         for batch in batches:
             for part, some in pieces(batch):
