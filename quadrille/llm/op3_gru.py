@@ -46,6 +46,8 @@ ROUNDS, LANES, STEPS, RATE = 2, 128, 32, 0.006
 COUNTED, ABREAST = 4_000_000, 16 << 20
 #: Bounds of what goes into a softmax, so that no exponential overflows or vanishes.
 SPAN = np.float32(60)
+#: Rows of a product that are summed at a time.
+BLOCK = 256
 #: Counts in place of zero, for classes and places without a word.
 NONE = 1e-20
 #: Hash of the end token.
@@ -97,9 +99,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def softmax(z: np.ndarray, of: np.ndarray, back: bool) -> np.ndarray:
-    """Log of the share of each row's place `of`; if back, z becomes the gradient of the negative sum by the logits, else it is used up."""
-    np.clip(z, -SPAN, SPAN, out=z)
+def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many rows, in blocks of rows, which are quicker than one product."""
+    n = len(a) // BLOCK * BLOCK
+    out = np.matmul(a[:n].reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, BLOCK, b.shape[1])).sum(0)
+    return out if n == len(a) else out + a[n:].T @ b[n:]
+
+
+def softmax(z: np.ndarray, of: np.ndarray, w: np.ndarray, back: bool) -> np.ndarray:
+    """Log of the share of each row's place `of` among the logits z, made of states and w; if back, z becomes the gradient of the negative sum by the logits, else it is used up."""
+    if np.abs(w).sum(-2).max() >= SPAN:  # no part of a state is beyond 1, so else none of the logits is beyond the span
+        np.clip(z, -SPAN, SPAN, out=z)
     rows = np.arange(len(z))
     own = z[rows, of]
     np.exp(z, out=z)
@@ -115,31 +125,31 @@ def outputs(h: np.ndarray, target: np.ndarray, m: Weights, back: bool = False) -
     """Log probability of each target given the state; if asked for, gradients of the sum of their negatives."""
     cls = class_of(target)
     order = np.argsort(cls.astype(np.uint8), kind="stable")
-    h, cls, target = h[order], cls[order], target[order]
-    z = h @ m["wc"]
-    z += m["bc"]
-    log_p = softmax(z, cls, back)
-    dh, g = None, {}
-    if back:
-        g = {"wc": h.T @ z, "bc": z.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
-        dh = z @ np.ascontiguousarray(m["wc"].T)
+    cls, target = cls[order], target[order]
+    one = np.ones((len(h), STATE + 1), np.float32)  # the last place is for what doesn't depend on the state
+    one[:, :STATE] = h[order]
+    wc, ww = np.concatenate([m["wc"], m["bc"][None]]), np.concatenate([m["ww"], m["bw"][:, None]], 1)
+    z = one @ wc
+    log_p = softmax(z, cls, wc, back)
     cut = np.searchsorted(cls, np.arange(HEADS + 1)).tolist()
-    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-        if a == b:
-            continue
-        z = h[a:b] @ m["ww"][k]
-        z += m["bw"][k]
-        log_p[a:b] += softmax(z, target[a:b] - k * EACH, back)
-        if back:
-            g["ww"][k], g["bw"][k] = h[a:b].T @ z, z.sum(0)
-            dh[a:b] += z @ m["ww"][k].T
+    parts, n = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b], cut[-1]
+    zw = np.empty((n, EACH), np.float32)
+    for k, part in parts:
+        np.matmul(one[part], ww[k], out=zw[part])
+    log_p[:n] += softmax(zw, target[:n] - cls[:n] * EACH, ww, back)
     out = np.empty_like(log_p)
     out[order] = log_p
-    if back:
-        in_order = np.empty_like(dh)
-        in_order[order] = dh
-        dh = in_order
-    return out, dh, g
+    if not back:
+        return out, None, {}
+    g_c, g_w = across(one, z), np.zeros_like(ww)
+    dh, by_word, turned = z @ np.ascontiguousarray(m["wc"].T), np.empty((n, STATE), np.float32), np.ascontiguousarray(m["ww"].transpose(0, 2, 1))
+    for k, part in parts:
+        np.matmul(one[part].T, zw[part], out=g_w[k])
+        np.matmul(zw[part], turned[k], out=by_word[part])
+    dh[:n] += by_word
+    in_order = np.empty_like(dh)
+    in_order[order] = dh
+    return out, in_order, {"wc": g_c[:-1], "bc": g_c[-1], "ww": g_w[:, :-1], "bw": g_w[:, -1]}
 
 
 def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, Weights]:
@@ -149,8 +159,11 @@ def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple
     """
     s, lanes = STATE, x.shape[1]
     live = (x != END)[:, :, None].astype(np.float32)  # a document starts anew
-    table = m["embed"] @ m["wx"] + m["b"]
-    zr, cand = np.ascontiguousarray(table[:, : 2 * s])[x], np.ascontiguousarray(table[:, 2 * s :])[x]
+    ends = (live == 0).any((1, 2)).tolist()
+    one = np.ones((x.size, EMBED + 1), np.float32)
+    one[:, :EMBED] = m["embed"][x.reshape(-1)]
+    wx = np.concatenate([m["wx"], m["b"][None]])
+    zr, cand = (one @ wx[:, : 2 * s]).reshape(*x.shape, 2 * s), (one @ wx[:, 2 * s :]).reshape(*x.shape, s)
     w_zr, w_n = np.ascontiguousarray(m["wh"][:, : 2 * s]), np.ascontiguousarray(m["wh"][:, 2 * s :])
     old, new, un = np.empty((3, *x.shape, s), np.float32)
     for t in range(len(x)):
@@ -187,15 +200,16 @@ def window(m: Weights, x: np.ndarray, y: np.ndarray, state: np.ndarray) -> tuple
         np.multiply(dn, r[t], out=du[t][:, 2 * s :])
         d *= z[t]
         d += du[t] @ back
-        d *= live[t]
+        if ends[t]:
+            d *= live[t]
         later = d
     dg[:, :, : 2 * s] = du[:, :, : 2 * s]
     flat, dg = x.reshape(-1), dg.reshape(-1, 3 * s)
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    per = np.zeros((END + 1, 3 * s), np.float32)
-    per[flat[order][first]] = np.add.reduceat(dg[order], first)
-    g |= {"wh": old.reshape(-1, s).T @ du.reshape(-1, 3 * s), "b": dg.sum(0), "wx": m["embed"].T @ per, "embed": per @ m["wx"].T}
+    by_wx, by_embed = across(one, dg), np.zeros_like(m["embed"])
+    by_embed[flat[order][first]] = np.add.reduceat((dg @ np.ascontiguousarray(m["wx"].T))[order], first)
+    g |= {"wh": across(old.reshape(-1, s), du.reshape(-1, 3 * s)), "b": by_wx[-1], "wx": by_wx[:-1], "embed": by_embed}
     return state, log_p, g
 
 
@@ -210,18 +224,30 @@ def train(m: Weights, stream: np.ndarray, rate: float = RATE) -> Weights:
     lanes = int(np.clip(n // (4 * STEPS), 1, LANES))
     length = -(-n // lanes)
     first_of = np.linspace(0, n - length, lanes).astype(np.int64)
-    m = {k: v.copy() for k, v in m.items()}
-    mean, square = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
+    all_of = np.concatenate([v.ravel() for v in m.values()])  # the weights are views of it
+    ends = np.cumsum([v.size for v in m.values()])
+    m = {k: all_of[end - v.size : end].reshape(v.shape) for (k, v), end in zip(m.items(), ends)}
+    mean, square, step_of, by = np.zeros((4, len(all_of)), np.float32)
     state = np.zeros((lanes, STATE), np.float32)
     for step, begin in enumerate(range(0, length, STEPS), 1):
         at = first_of + np.arange(begin, min(begin + STEPS, length))[:, None]
         x, y = stream[at], stream[at + 1].astype(np.int64)
         state, _, g = window(m, x, y, state)
-        for k, v in g.items():
-            v = np.clip(v / x.size, -1, 1)
-            mean[k] += 0.1 * (v - mean[k])
-            square[k] += 0.01 * (v * v - square[k])
-            m[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+        np.concatenate([g[k].ravel() for k in m], out=by)
+        by /= x.size
+        np.clip(by, -1, 1, out=by)
+        np.subtract(by, mean, out=step_of)
+        step_of *= 0.1
+        mean += step_of
+        by *= by
+        by -= square
+        by *= 0.01
+        square += by
+        np.sqrt(np.divide(square, 1 - 0.99**step, out=by), out=by)
+        by += 1e-7
+        np.divide(mean, by, out=step_of)
+        step_of *= rate / (1 - 0.9**step)
+        all_of -= step_of
     return m
 
 
