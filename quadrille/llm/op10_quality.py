@@ -5,7 +5,8 @@ run over the bytes of a chunk and are max-pooled; a document is the mean and the
 by a learned layer into one probability. A text of any length passes through in batches of chunks.
 
 Null and empty texts: one chunk of blanks, scored like others. Null doc_id: scored, not held out, not learned from. Several
-labels for one doc_id: the largest counts. Repeated rows: one result each. No labels to learn from: score 0.5.
+labels for one doc_id: the largest counts; several texts: the one of the smallest hash is learned from. Repeated rows: one
+result each. No labels to learn from: score 0.5. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -139,11 +140,11 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, max_bytes: int = 16 << 20) -> Model:
     """Learns on the driver from at most limit labelled rows and max_bytes of text, in order of a hash of the id; a longer text than max_bytes isn't learned from."""
     rows = labelled(docs, labels, "quality", limit).where(F.octet_length("text") <= max_bytes)
-    sized = rows.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "n").toPandas()
+    sized = rows.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     ids = sized["doc_id"][sized["n"].cumsum() <= max_bytes].tolist()
     if not ids:
         return train([], np.zeros(0))
-    got = rows.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toPandas()
+    got = rows.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return train([bytes(t) for t in got["text"]], got["y"].to_numpy(np.float32))
 
 

@@ -2,10 +2,13 @@
 
 Features of a whole text: densities of a lexicon (in all, in the densest stretch, near words that address a second person),
 capitals, punctuation and obfuscation rates, lengths. The lexicon holds words and word beginnings that mark toxic texts; it is
-learned from the same labelled rows. The trees' scores are calibrated on rows that the trees didn't see.
+learned from the same labelled rows. Scores are calibrated out of fold: for each fold, a lexicon and trees are learned from the
+rows of the other folds only.
 
 Null and empty texts have features of 0 and get a score like others. Null doc_id: scored, not held out, not learned from.
-Several labels for one doc_id: the largest counts. Repeated rows: one result each. No labels to learn from: score 0.
+Several labels for one doc_id: the largest counts; several texts: the one of the smallest hash is learned from. Repeated rows:
+one result each. No labels to learn from: score 0. Equal features get equal scores. Texts of any length are read to their end,
+a text above a piece's size alone. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_remainder, remainder
+from .common import Scratch, is_remainder, remainder
 from .textvec import Words, pieces
 
 #: Labelled rows to learn from at most, chosen by hash; lexicon entries at most.
@@ -27,6 +30,8 @@ MAX_TRAIN, MAX_LEXICON = 12_000, 4000
 STEMS = (4, 5, 6)
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 FEATURES = 16
+#: Parts of the labelled rows for calibration.
+FOLDS = 3
 #: Words that address a second person.
 SECOND = b"you your yours yourself ya u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split()
 #: Insults that the lexicon holds from the start.
@@ -81,12 +86,13 @@ def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     dense = np.zeros(n_docs)
     np.maximum.at(dense, of, run[hi] - run[:-1])
     seen = np.concatenate([[0], np.cumsum(you)])
-    close = bad & (seen[np.minimum(np.arange(len(h)) + NEAR + 1, len(h))] > seen[np.maximum(np.arange(len(h)) - NEAR, 0)])
+    close = bad & (seen[np.minimum(np.arange(len(h)) + NEAR + 1, w.at[of + 1])] > seen[np.maximum(np.arange(len(h)) - NEAR, w.at[of])])
     letter = ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80)
     upper = (raw >= 0x41) & (raw <= 0x5A)
     digit = (raw >= 0x30) & (raw <= 0x39)
     odd = np.isin(raw, np.frombuffer(b"*@$#%&|<>=+_~^", np.uint8))
     inner = odd | digit
+    inner[[0, -1]] = False
     inner[1:-1] &= (letter | upper)[:-2] & (letter | upper)[2:]
     twice = np.zeros(len(raw), bool)
     twice[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & letter[2:]
@@ -180,71 +186,91 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Boosted:
-    """Calibrates on scores of trees grown without the fold, then grows trees on all rows."""
+    """Calibrates on scores of trees grown without the fold, then grows trees on all rows.
+
+    x: (row, lexicon, feature), by the lexicon learned without each fold, and last by the one learned from all rows.
+    """
     if not len(y):
         return Boosted(lexicon, 0.0, np.zeros((0, 2**DEPTH - 1), np.int64), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)), np.array([0.0]), np.array([0.0]))
     apart = np.zeros(len(y))
-    for k in range(3):
-        here = fold % 3 == k
+    for k in range(FOLDS):
+        here = fold == k
         if here.any() and (~here).any():
-            apart[here] = Boosted(lexicon, *boost(x[~here], y[~here]), np.zeros(1), np.zeros(1)).raw(x[here])
-    return Boosted(lexicon, *boost(x, y), *isotonic(apart, y))
+            apart[here] = Boosted(lexicon, *boost(x[~here, k], y[~here]), np.zeros(1), np.zeros(1)).raw(x[here, k])
+    return Boosted(lexicon, *boost(x[:, -1], y), *isotonic(apart, y))
 
 
 # Over Spark
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, y, text of at most limit labelled rows to learn from, the first by a hash of the id."""
+    """doc_id, y, text of at most limit labelled documents to learn from, the first by a hash of the id; one text of each."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
     some = rows.groupBy("doc_id").agg(F.max(target).cast("int").alias("y")).orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(limit)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id")  # limit bounds it
+    found = texts.join(F.broadcast(some), "doc_id")  # limit bounds it
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and word beginnings that many more toxic than other texts hold."""
+def learn_lexicons(rows: DataFrame, scratch: Scratch) -> list[Lexicon]:
+    """Words and word beginnings that many more toxic than other texts hold: a lexicon from all but each fold, and last the one from all rows."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                w, y = trimmed(Words(texts)), np.array(part.column("y").to_pylist(), np.int64)
+                w, y, fold = trimmed(Words(texts)), np.array(part.column("y").to_pylist(), np.int64), np.array(part.column("fold").to_pylist(), np.int64)
                 of = np.repeat(np.arange(len(texts)), np.diff(w.at))
                 for kind, keys in [(0, w.hashes()), *((k, w.prefix(k)) for k in STEMS)]:
                     order = np.argsort(keys, kind="stable")
                     k, d = keys[order], of[order]
                     first = (np.diff(k, prepend=0) != 0) | (np.diff(d, prepend=-1) != 0)
                     first &= k != 0
-                    key, at = np.unique(k[first], return_inverse=True)
-                    toxic = np.bincount(at, y[d[first]], len(key)).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(key), pa.int32()), "key": key.view(np.int64), "toxic": toxic, "n": np.bincount(at, minlength=len(key)).astype(np.int64)})
-
-    totals = rows.agg(F.sum("y").alias("y"), F.count("*").alias("n")).first()
-    toxic, clean = float(totals["y"] or 0), float(totals["n"] - (totals["y"] or 0))
-    if not toxic or not clean:
-        return Lexicon(_SEED, {})
-    found = rows.mapInArrow(entries, "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    odds = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("n") - F.col("toxic") + 0.5) / clean)
-    other = F.col("n") - F.col("toxic")
-    evidence = F.col("toxic") * F.log(F.col("toxic") / F.col("n") / (toxic / (toxic + clean))) + F.when(other > 0, other * F.log(other / F.col("n") / (clean / (toxic + clean)))).otherwise(0.0)
-    marks = found.where("toxic > 0").withColumns({"odds": odds, "evidence": evidence}).where((F.col("toxic") >= 0.004 * toxic) & (F.col("odds") > 2.5) & (F.col("evidence") > EVIDENCE))
-    top = marks.orderBy(F.desc("evidence"), "kind", "key").limit(MAX_LEXICON).toPandas()
-    of = lambda kind: np.sort(top["key"][top["kind"] == kind].to_numpy(np.int64).view(np.uint64))
-    return Lexicon(np.union1d(of(0), _SEED), {k: of(k) for k in STEMS})
+                    k, d = k[first], d[first]
+                    for f in range(FOLDS):
+                        mine = fold[d] == f
+                        key, at = np.unique(k[mine], return_inverse=True)
+                        toxic = np.bincount(at, y[d[mine]], len(key)).astype(np.int64)
+                        yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(key), pa.int32()), "key": key.view(np.int64), "fold": pa.array([f] * len(key), pa.int32()), "toxic": toxic, "n": np.bincount(at, minlength=len(key)).astype(np.int64)})
+
+    totals = {r["fold"]: (r["y"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()}
+    of_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS) for c in ("toxic", "n")]
+    found = scratch.keep(rows.mapInArrow(entries, "kind int, key long, fold int, toxic long, n long").groupBy("kind", "key").agg(*of_fold))
+    lexicons = []
+    for apart in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != apart]
+        toxic = float(sum(totals.get(k, (0, 0))[0] for k in folds))
+        clean = sum(totals.get(k, (0, 0))[1] for k in folds) - toxic
+        if not toxic or not clean:
+            lexicons.append(Lexicon(_SEED, {}))
+            continue
+        own = found.select("kind", "key", *(sum((F.col(f"{c}_{k}") for k in folds), F.lit(0)).alias(c) for c in ("toxic", "n")))
+        odds = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("n") - F.col("toxic") + 0.5) / clean)
+        other = F.col("n") - F.col("toxic")
+        evidence = F.col("toxic") * F.log(F.col("toxic") / F.col("n") / (toxic / (toxic + clean))) + F.when(other > 0, other * F.log(other / F.col("n") / (clean / (toxic + clean)))).otherwise(0.0)
+        marks = own.where("toxic > 0").withColumns({"odds": odds, "evidence": evidence}).where((F.col("toxic") >= 0.004 * toxic) & (F.col("odds") > 2.5) & (F.col("evidence") > EVIDENCE))
+        top = marks.orderBy(F.desc("evidence"), "kind", "key").limit(MAX_LEXICON).toPandas()
+        of = {kind: np.sort(top["key"][top["kind"] == kind].to_numpy(np.int64).view(np.uint64)) for kind in (0, *STEMS)}
+        lexicons.append(Lexicon(np.union1d(of[0], _SEED), {k: of[k] for k in STEMS}))
+    scratch.drop(found)
+    return lexicons
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Boosted:
-    rows = labelled(docs, labels, "toxic", limit)
-    lexicon = learn_lexicon(rows)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    rows = scratch.keep(labelled(docs, labels, "toxic", limit).withColumn("fold", fold))
+    lexicons = learn_lexicons(rows, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(features(texts, lexicon)), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
+                x = np.concatenate([features(texts, lexicon) for lexicon in lexicons], 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("fold"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "fold", "x"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    x = np.stack(got["x"]) if len(got) else np.zeros((0, FEATURES), np.float32)
-    return train(x, got["y"].to_numpy(float), np.arange(len(got)), lexicon)
+    got = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, fold int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    scratch.drop(rows)
+    x = np.stack(got["x"]) if len(got) else np.zeros((0, (FOLDS + 1) * FEATURES), np.float32)
+    return train(x.reshape(len(got), FOLDS + 1, FEATURES), got["y"].to_numpy(float), got["fold"].to_numpy(), lexicons[-1])
 
 
 def score(docs: DataFrame, model: Boosted) -> DataFrame:

@@ -70,6 +70,114 @@ def test_odd_rows_and_no_labels(spark, op):
     assert op.score(empty, op.fit(empty, labels)).count() == 0
 
 
+def plain_features(text, lexicon_words, stems):
+    """The features of one text, word by word and byte by byte."""
+    own = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.lower() if text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in text)):
+        for _ in range(3):
+            if len(w) > 1 and w[-1] in b".,:;!?\"'()[]":
+                w = w[:-1]
+            if len(w) > 1 and w[0] in b".,:;!?\"'()[]":
+                w = w[1:]
+        own.append(w)
+    if not own:
+        return [0.0] * op1_toxicity.FEATURES
+    exact = [w in lexicon_words for w in own]
+    stem = [any(len(w) >= k and w[:k] in some for k, some in stems.items()) for w in own]
+    bad = [a or b for a, b in zip(exact, stem)]
+    you = [w in op1_toxicity.SECOND for w in own]
+    dense = max(sum(bad[i : i + op1_toxicity.STRETCH]) for i in range(len(own)))
+    close = sum(b and any(you[max(0, i - op1_toxicity.NEAR) : i + op1_toxicity.NEAR + 1]) for i, b in enumerate(bad))
+    upper, lower, digit, odd = ([a(b) for b in text] for a in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122 or b >= 128, lambda b: 48 <= b <= 57, lambda b: b in b"*@$#%&|<>=+_~^"))
+    letter = [a or b for a, b in zip(upper, lower)]
+    inner = sum((odd[i] or digit[i]) and letter[i - 1] and letter[i + 1] for i in range(1, len(text) - 1))
+    twice = sum(lower[i] and text[i] == text[i - 1] == text[i - 2] for i in range(2, len(text)))
+    n, size, letters = len(own), len(text), max(1, sum(letter))
+    return [sum(exact) / n, min(20, sum(exact)), sum(stem) / n, min(20, sum(stem)), dense, close / n, sum(you) / n, sum(upper) / letters, text.count(b"!") / size, text.count(b"?") / size, sum(odd) / size, inner / n, twice / n, sum(digit) / size, np.log1p(n), size / n]
+
+
+def test_features_by_brute_force():
+    r = np.random.default_rng(3)
+    some = [b"you", b"You,", b"idiot!", b"(IDIOTIC)", b"fool", b"foolish", b"tree", b"n1ce", b"st*pid", b"\xc3\xa9t\xc3\xa9", b"42", b"sooo", b"...", b"?", b"AAA", b"a"]
+    texts = [b" ".join(some[i] for i in r.integers(0, len(some), n)) for n in r.integers(0, 90, 40)] + [b"", b" ", b"4x", b"idiot", b"you", b"1a2", b"\n!\n"]
+    r.shuffle(texts)
+    words_, stems = {b"idiot", b"fool"}, {4: {b"idio"}, 5: {b"st*pi"}, 6: set()}
+    of = lambda some: np.sort(Words([b" ".join(some)]).hashes())
+    lexicon = op1_toxicity.Lexicon(of(words_), {k: np.sort(Words([b" ".join(v)]).prefix(k)) for k, v in stems.items()})
+    for batch in (texts, texts[7:], texts[-1:]):
+        assert op1_toxicity.features(batch, lexicon) == pytest.approx(np.array([plain_features(t, words_, stems) for t in batch]), rel=1e-5)
+
+
+def test_trees_by_brute_force(monkeypatch):
+    monkeypatch.setattr(op1_toxicity, "TREES", 4)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 3)).astype(np.float32)
+    y = 1 / (1 + np.exp(-3 * (x[:, 0] + x[:, 1] ** 2 + r.normal(size=150) - 0.8)))  # not 0 or 1, so that no two cuts are equally good
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, op1_toxicity.BINS + 1)[1:-1]).astype(np.float32)) for c in x.T]
+    p = y.mean()
+    f = [float(np.log(p / (1 - p)))] * len(y)
+
+    def grow(rows, depth, g, h):
+        """The change of each row's value."""
+        if depth == op1_toxicity.DEPTH:
+            return {i: op1_toxicity.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1) for i in rows}
+        best, cut_at = 1e-6, None
+        part = lambda some: sum(g[i] for i in some) ** 2 / (sum(h[i] for i in some) + 1)
+        for j, cut in enumerate(cuts):
+            for c in cut:
+                left, right = [i for i in rows if x[i, j] <= c], [i for i in rows if x[i, j] > c]
+                gain = part(left) + part(right) - part(rows)
+                if min(sum(h[i] for i in left), sum(h[i] for i in right)) >= 0.5 and gain > best + 1e-12:
+                    best, cut_at = gain, (j, c)
+        if cut_at is None:
+            return grow(rows, depth + 1, g, h)
+        j, c = cut_at
+        return grow([i for i in rows if x[i, j] <= c], depth + 1, g, h) | grow([i for i in rows if x[i, j] > c], depth + 1, g, h)
+
+    for _ in range(4):
+        q = [1 / (1 + np.exp(-v)) for v in f]
+        change = grow(range(len(y)), 0, [a - b for a, b in zip(y, q)], [b * (1 - b) for b in q])
+        f = [v + change[i] for i, v in enumerate(f)]
+    model = op1_toxicity.Boosted(op1_toxicity.Lexicon(np.zeros(0, np.uint64), {}), *op1_toxicity.boost(x, y), np.zeros(1), np.zeros(1))
+    assert model.raw(x) == pytest.approx(np.array(f), abs=1e-6)
+
+
+def test_calibration_does_not_see_the_fold(spark):
+    """A word that marks toxic texts of one fold only is in the lexicons of the others' rows, not in the one learned without that fold."""
+    rows = [(i, f"mark{i % 3} " * 3 + "plain words here" if i % 2 else "plain words there", i % 2, i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, fold int").selectExpr("doc_id", "cast(text as binary) as text", "y", "fold")
+    lexicons = op1_toxicity.learn_lexicons(df, op1_toxicity.Scratch(spark, "test"))
+    holds = [[bool(np.isin(Words([b"mark%d" % k]).hashes(), x.words)[0]) for k in range(3)] for x in lexicons]
+    assert holds == [[False, True, True], [True, False, True], [True, True, False], [True, True, True]]
+
+
+def test_repeated_ids_give_one_text_to_learn_from(spark):
+    rows = docs(spark, [(i, f"text {i} {k}", "en", "a") for i in (1, 2, 3) for k in range(50)])
+    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3)] * 2, "doc_id long, quality int, toxic int")
+    got = op1_toxicity.labelled(rows, labels, "toxic").collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i in (1, 2, 3) if remainder(i, 5)]
+
+
+def test_network_by_brute_force():
+    m = {k: v.astype(float) for k, v in op10_quality.fresh().items()}
+    m["bias"] += 0.1
+    texts = [b"", b"ab", "à b ç".encode() * 150, bytes(range(256)) * 3]
+    c, hop, wide = op10_quality.CHUNK, op10_quality.HOP, op10_quality.WIDTH
+    expected = []
+    for t in texts:
+        chunks, at = [], 0
+        while not at or at - hop + c < len(t):
+            chunks.append(t[at : at + c].ljust(c, b" "))
+            at += hop
+        values = []
+        for chunk in chunks:
+            seen = [np.concatenate([m["embed"][b] for b in chunk[k : k + wide]]) @ m["filters"] for k in range(0, c - wide + 1, op10_quality.STEP)]
+            values.append(np.maximum(np.max(seen, 0) + m["bias"], 0))
+        z = np.concatenate([np.mean(values, 0), np.max(values, 0)]) @ m["out"] + m["out_bias"][0]
+        expected.append(1 / (1 + np.exp(-z)))
+    assert op10_quality.probability(texts, {k: v.astype(np.float32) for k, v in m.items()}) == pytest.approx(expected, abs=1e-5)
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(1)
     s = r.normal(size=500).round(1)
