@@ -3,7 +3,8 @@
 1. Documents with the same set of word shingles are one class.
 2. Blocks. In an order that all sets share, two sets of similarity t have l of the first n - ceil(t n) + l shingles of each in
    common; l is a tenth of the smallest size that can be linked with n. The order puts the shingles that a first pass saw often
-   last (this only saves work, any order finds all links), then goes by hash. Classes that share fewer than l of their first
+   last, then those of rarer words first, by counts of every eighth word, then goes by hash (this only saves work, any order finds
+   all links; by hash alone, chance meetings of common words grow with the square of the documents). Classes that share fewer than l of their first
    shingles with any others have no link and go. Of the rest, those that share one and are of sizes that can be linked are brought
    together in clusters, through links to one class of each block; blocks of frequent shingles are dealt under salts first.
    Clusters of more than a piece are divided by the same rule with another order and shingles of the same cluster only: chance
@@ -41,12 +42,14 @@ GROUPS, LEAF = 128, 8
 PIECE, PIECE_SHINGLES = 512, 1 << 19
 #: A task tells the shingles that it sees in so many sets of one pass over this many shingles; those seen so often in all are frequent; those kept at most; salts of a frequent shingle's block.
 TOLD_FROM, SEEN, OFTEN, MAX_FREQUENT, SALTS = 3, 4_000_000, 12, 500_000, 32
+#: Every so manieth word is counted; a task tells words that it saw so often in one pass; words kept at most; the rarity, in bits, of others.
+WORD_STEP, WORD_TOLD, MAX_WORDS, RARE = 8, 16, 65_536, 16
 #: First shingles in common: this part of the smallest size that can be linked.
 COMMON = 10
 #: Times that large clusters are divided at most, and the part of their classes that may be left for it to have helped.
 DIVISIONS, HELPED = 4, 0.8
-#: Documents of clusters that are told to all tasks; more are joined by shuffle.
-MAX_TOLD = 1_000_000
+#: Documents of clusters, and documents that go, that are told to all tasks; more are joined by shuffle.
+MAX_TOLD, MAX_GONE = 1_000_000, 2_000_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -60,6 +63,29 @@ def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [np.unique(shingles(h[a:b], k)) for a, b in zip(w.at[:-1], w.at[1:])]
 
 
+def word_rarities(counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common words, sorted, and the rarity of each, from columns cls (hash) and often."""
+    counts = counts.assign(hash=counts["cls"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
+    often = counts["often"].to_numpy(float)
+    return counts["hash"].to_numpy(), np.clip(np.round(np.log2(often.sum() / often)) if len(often) else often, 1, RARE - 1).astype(np.uint8)
+
+
+def ranked_sets_of(texts: list[bytes], k: int, words: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """sets_of(), each with the rarity (0 to 127) of its shingles: the sum of their words' ones."""
+    w = Words(texts, PLAIN)
+    h = w.hashes()
+    rare = np.full(len(h), RARE, np.int64)
+    if len(words[0]):
+        at = np.minimum(np.searchsorted(words[0], h), len(words[0]) - 1)
+        rare = np.where(words[0][at] == h, words[1][at], rare)
+    sums, out = np.concatenate([[0], np.cumsum(rare)]), []
+    for a, b in zip(w.at[:-1], w.at[1:]):
+        s, first = np.unique(shingles(h[a:b], k), return_index=True)
+        first += a
+        out.append((s, np.minimum(sums[np.minimum(first + k, b)] - sums[first], 127).astype(np.uint8)))
+    return out
+
+
 def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -69,12 +95,15 @@ def in_common(n: int, percent: int) -> int:
     return max(1, needed(n, percent) // COMMON)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the common order of this turn, and which of them are frequent."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, turn: int = 0, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order of this turn, and which of them are frequent. rarity: of each shingle, for turn 0."""
     if turn:
         s = s[np.argsort(mixed(s ^ np.uint64(turn * 0x9E3779B1)), kind="stable")]
     often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[: len(s) - needed(len(s), percent) + max(1, len(s) // COMMON)]
+    late = often.astype(np.uint8) << 7
+    if rarity is not None:
+        late |= 127 - rarity
+    order = np.argsort(late, kind="stable")[: len(s) - needed(len(s), percent) + max(1, len(s) // COMMON)]
     return s[order], often[order]
 
 
@@ -171,12 +200,22 @@ def connected(sets: list[np.ndarray], group: np.ndarray, percent: int, ask: np.n
 # Over Spark
 
 
-def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, cls (hash of the set; null if empty) for each row, and shingles that a pass saw often."""
+def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """doc_id, n, cls (hash of the set; null if empty) for each row, shingles that a pass saw often, and word_rarities()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
-        held = 0
+        some: list[np.ndarray] = []
+        held = counted = 0
+
+        def told(value: np.ndarray, n: np.ndarray, word: bool) -> pa.RecordBatch:
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "cls": value.view(np.int64), "often": n, "word": np.full(len(n), word)})
+
+        def common() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(some or [np.zeros(0, np.uint64)]), return_counts=True)
+            some.clear()
+            return told(value[n >= WORD_TOLD], n[n >= WORD_TOLD], True)
 
         def often() -> pa.RecordBatch:
             value = np.concatenate(list(seen.values()) or [np.zeros(0, np.uint64)])
@@ -186,13 +225,20 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
             begins = np.append(True, value[1:] != value[:-1])[:last]
             value, at = value[:last][begins & (value[:last] == value[TOLD_FROM - 1 :])], value
             n = np.searchsorted(at, value, "right") - np.searchsorted(at, value)
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "cls": value.view(np.int64), "often": n})
+            return told(value, n, False)
 
         for batch in batches:
             for part, texts in pieces(batch):
-                sets = sets_of(texts, k)
+                w = Words(texts, PLAIN)
+                h = w.hashes()
+                sets = [np.unique(shingles(h[a:b], k)) for a, b in zip(w.at[:-1], w.at[1:])]
+                some.append(h[::WORD_STEP].copy())
+                counted += len(some[-1])
+                if counted >= SEEN // WORD_STEP:
+                    yield common()
+                    counted = 0
                 cls = [digest(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(sets), pa.int64())], ["doc_id", "n", "cls", "often"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.bool_())], ["doc_id", "n", "cls", "often", "word"])
                 for c, s in zip(cls, sets):
                     if c is not None and c not in seen:
                         seen[c] = s
@@ -201,11 +247,13 @@ def class_table(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, n
                     yield often()
                     held = 0
         yield often()
+        yield common()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    table = scratch.keep(texts.mapInArrow(run, "doc_id long, n long, cls long, often long"))
-    top = table.where("often is not null").groupBy("cls").agg(F.sum("often").alias("often")).where(F.col("often") >= OFTEN).orderBy(F.desc("often"), "cls").limit(MAX_FREQUENT).select("cls").toPandas()
-    return table.where("often is null").drop("often"), np.sort(top["cls"].to_numpy(np.int64).view(np.uint64))
+    table = scratch.keep(texts.mapInArrow(run, "doc_id long, n long, cls long, often long, word boolean"))
+    top = table.where("not word").groupBy("cls").agg(F.sum("often").alias("often")).where(F.col("often") >= OFTEN).orderBy(F.desc("often"), "cls").limit(MAX_FREQUENT).select("cls").toPandas()
+    words = table.where("word").groupBy("cls").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "cls").limit(MAX_WORDS).toPandas()
+    return table.where("often is null").drop("often", "word"), np.sort(top["cls"].to_numpy(np.int64).view(np.uint64)), word_rarities(words)
 
 
 ROW = "shingle long, salt int, cls long, lo long, hi long"
@@ -273,9 +321,9 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "lo", "cls")
 
 
-def first_rows(sets: dict[int, np.ndarray], frequent: np.ndarray, percent: int, turn: int = 0, within: list[int] | None = None) -> pa.RecordBatch | None:
-    """Rows of the first shingles of classes; within: the cluster of each, which alone its shingles meet in."""
-    firsts = [prefix(s, frequent, percent, turn) for s in sets.values()]
+def first_rows(sets: dict[int, np.ndarray], frequent: np.ndarray, percent: int, turn: int = 0, within: list[int] | None = None, rarity: dict[int, np.ndarray] | None = None) -> pa.RecordBatch | None:
+    """Rows of the first shingles of classes; within: the cluster of each, which alone its shingles meet in; rarity: of each one's shingles."""
+    firsts = [prefix(s, frequent, percent, turn, None if rarity is None else rarity[c]) for c, s in sets.items()]
     if not firsts:
         return None
     length = [len(f) for f, _ in firsts]
@@ -289,12 +337,14 @@ def first_rows(sets: dict[int, np.ndarray], frequent: np.ndarray, percent: int,
 def hooked(firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: by these links, classes that may be linked are connected. firsts: first_rows()."""
     rows = scratch.keep(dealt(firsts).mapInArrow(shared, ROW))
+    scratch.settle()
     least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / COMMON))
     for turn in range(2):
         enough = rows.groupBy("cls").agg(F.count("*").alias("shared"), F.max("lo").alias("n")).where(F.col("shared") >= least).select("cls")
         rest = rows.join(enough, "cls", "left_semi").select("shingle", "salt", "cls", "lo", "hi")
         rest = scratch.keep(dealt(rest).mapInArrow(shared, ROW))
         scratch.drop(rows)
+        scratch.settle()
         rows = rest
     schema = "a long, b long, shingle long, cls long, lo long, hi long"
     first = scratch.keep(dealt(rows).mapInArrow(stars(percent), schema))
@@ -304,17 +354,18 @@ def hooked(firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return links
 
 
-def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
+def clusters(spark: SparkSession, docs: DataFrame, k: int, percent: int, frequent: np.ndarray, words: tuple[np.ndarray, np.ndarray], scratch: Scratch) -> DataFrame:
     """node, root: the cluster of each class that may be linked with another."""
-    known = spark.sparkContext.broadcast(frequent)
+    known = spark.sparkContext.broadcast((frequent, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has told, the last so many
         for batch in batches:
             for _, texts in pieces(batch):
-                own = {c: s for c, s in ((digest(s), s) for s in sets_of(texts, k) if len(s)) if c not in seen}
+                often, common = known.value
+                own = {c: (s, r) for c, s, r in ((digest(s), s, r) for s, r in ranked_sets_of(texts, k, common) if len(s)) if c not in seen}
                 seen = seen | own.keys() if len(seen) < 500_000 else set(own)
-                if (rows := first_rows(own, known.value, percent)) is not None:
+                if (rows := first_rows({c: s for c, (s, _) in own.items()}, often, percent, rarity={c: r for c, (_, r) in own.items()})) is not None:
                     yield rows
 
     links = hooked(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, ROW), percent, scratch)
@@ -364,6 +415,11 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def told_or_hashed(ids: DataFrame, limit: int) -> DataFrame:
+    """To be joined with texts: told to all tasks, or dealt and held as a hash table, so that texts are shuffled but never sorted (and spilled)."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids.hint("shuffle_hash")
+
+
 def band(n: Column, percent: int) -> Column:
     """Sets that can be linked are of the same band of sizes or of adjacent ones; a little wider than needed, for rounding."""
     return F.floor(F.log(n) / (1.0001 * max(math.log(100 / percent), 0.05))).cast("long")
@@ -384,8 +440,8 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     """doc_id, n_shingles, component_id: one row for each row of docs."""
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    table, frequent = class_table(docs, k, scratch)
-    near = clusters(spark, docs, k, percent, frequent, scratch)  # node: cls, root: its cluster
+    table, frequent, words = class_table(docs, k, scratch)
+    near = clusters(spark, docs, k, percent, frequent, words, scratch)  # node: cls, root: its cluster
     reps = scratch.keep(table.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     told = scratch.keep(near.join(reps, near["node"] == reps["cls"]).select("rep", "cls", F.col("root").alias("cluster")))
 
@@ -400,8 +456,9 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
                 yield pa.RecordBatch.from_arrays([part.column("cls").take(at), part.column("cluster").take(at), pa.array([sets[i].tobytes() for i in own.values()], pa.binary())], ["cls", "cluster", "held"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    some = texts.join(broadcast_if(told, MAX_TOLD), texts["doc_id"] == told["rep"]).select("text", "cls", "cluster")
+    some = texts.join(told_or_hashed(told, MAX_TOLD), texts["doc_id"] == told["rep"]).select("text", "cls", "cluster")
     fetched = scratch.keep(some.mapInArrow(fetch, MEMBER))
+    scratch.settle()
     members = divided(spark, fetched, percent, frequent, scratch)
     size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("held") / 8).alias("shingles"))
     of = scratch.keep(size.where("n > 1").select("cluster", F.ceil(F.greatest(F.col("n") / PIECE, F.col("shingles") / PIECE_SHINGLES)).cast("long").alias("of")))
@@ -441,6 +498,7 @@ def component_table(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     entry = reps.join(found, reps["rep"] == found["node"], "left").where("root is not null or rows > 1").select("cls", "n", F.coalesce("root", "rep").alias("component"))
     entry = scratch.keep(entry)
     scratch.drop(told, fetched, of, reps)
+    scratch.settle()
     return table.join(entry, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
@@ -456,10 +514,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain, id_ = docs.toDF(*names), names[docs.columns.index("doc_id")]
     copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = plain.join(broadcast_if(copies, 2_000_000), plain[id_] == F.col("gone"), "left_anti")
+    rest = plain.join(told_or_hashed(copies, MAX_GONE), plain[id_] == F.col("gone"), "left_anti")
     again = scratch.keep(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again")))
     if not again.limit(1).count():
         return rest.toDF(*docs.columns)
-    again = broadcast_if(again, 2_000_000)
+    again = told_or_hashed(again, MAX_GONE)
     once = rest.join(again, rest[id_] == F.col("again"), "left_anti")
     return once.union(rest.join(again, rest[id_] == F.col("again"), "left_semi").dropDuplicates([id_])).toDF(*docs.columns)

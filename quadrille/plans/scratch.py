@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def settle(self) -> None:
+        """Shuffle files of plans that nothing holds go now, not when the driver next happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
     """Marked for broadcast if it has no more than limit rows; else as it is, for a shuffled join."""

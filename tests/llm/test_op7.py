@@ -138,6 +138,56 @@ def test_prefixes_of_similar_sets_meet(a, b, frequent, percent):
         assert len(first[0] & first[1]) >= max(op.in_common(len(a), percent), op.in_common(len(b), percent))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=8, max_size=150), st.lists(st.integers(0, 149), max_size=3), st.sampled_from([80, 85]))
+def test_prefixes_by_rarity_meet(numbers, edits, percent):
+    """Of two texts that differ in some words, by an order that only the words of a shingle decide."""
+    import pandas as pd
+
+    words_ = [f"w{i}" for i in numbers]
+    other = [f"x{i}" if i in edits else w for i, w in enumerate(words_)]
+    known = op.word_rarities(pd.DataFrame({"cls": op.Words([" ".join(f"w{i}" for i in range(0, 30, 2)).encode()]).hashes().view(np.int64), "often": [3**i for i in range(15)]}))
+    (a, ra), (b, rb) = op.ranked_sets_of([" ".join(words_).encode(), " ".join(other).encode()], 4, known)
+    assert [x.tolist() for x in (a, b)] == [x.tolist() for x in op.sets_of([" ".join(words_).encode(), " ".join(other).encode()], 4)]
+    both, at, bt = np.intersect1d(a, b, return_indices=True)
+    assert (ra[at] == rb[bt]).all()
+    if 100 * len(both) >= percent * (len(a) + len(b) - len(both)):
+        none = np.zeros(0, np.uint64)
+        first = [set(op.prefix(s, none, percent, 0, r)[0].tolist()) for s, r in ((a, ra), (b, rb))]
+        assert len(first[0] & first[1]) >= max(op.in_common(len(a), percent), op.in_common(len(b), percent))
+
+
+def test_common_words_bring_few_texts_together(spark, monkeypatch):
+    """Texts of common and rare words meet by their rare words: chance meetings don't grow with the square of the texts."""
+    r = random.Random(5)
+    texts = [" ".join(f"c{r.randrange(14)}" if r.random() < 0.85 else f"w{r.randrange(3000)}" for _ in range(150)) for _ in range(1500)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i] + " more") for i in range(20)]
+    links, hooked = [], op.hooked
+
+    def counted(*a):
+        links.append((out := hooked(*a)).count())
+        return out
+
+    monkeypatch.setattr(op, "hooked", counted)
+    got = {i: c for i, _, c in rows_of(op.component_table(spark, docs(spark, [(i, t, "en", "a") for i, t in rows], True), 4, 85))}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert links[0] < 100, links
+
+
+def test_texts_are_never_sorted(spark, monkeypatch):
+    """More documents than are told to all tasks: texts are dealt to hash tables of ids."""
+    r = random.Random(6)
+    texts = near_copies(r, 30) + near_copies(r, 10) + ["a b c"]
+    df = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)], True)
+    expected = sorted(x["doc_id"] for x in op.one_of_each(spark, df).collect())
+    monkeypatch.setattr(op, "MAX_TOLD", 0)
+    monkeypatch.setattr(op, "MAX_GONE", 0, raising=False)
+    out = op.one_of_each(spark, df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(x["doc_id"] for x in out.collect()) == expected and len(expected) < len(texts)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     r = random.Random(seed)
