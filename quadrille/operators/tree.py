@@ -108,47 +108,128 @@ def rect_order(boxes: DataFrame, scratch: Scratch, key: str = "id") -> DataFrame
 
 #: Boxes that go to all tasks; beyond, points and boxes are dealt by parent, under salts.
 MAX_BOXES, SALTS = 200_000, 16
+#: Nodes of so many entries are compared with all of a node's entries at once, many nodes together; entries of a larger node are in blocks of so many.
+SMALL = 32
+#: Numbers of a table in memory, about.
+CELLS = 1 << 19
 
+Bounds = list[np.ndarray]
 
-class Entries:
-    """Boxes of one node, in order of node_id."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.b = ids[order], bounds[:, order]
-        self.area = (self.b[2] - self.b[0]) * (self.b[3] - self.b[1])
+def _grown(b: Bounds, x: np.ndarray, y: np.ndarray) -> Bounds:
+    return [np.minimum(b[0], x), np.minimum(b[1], y), np.maximum(b[2], x), np.maximum(b[3], y)]
+
+
+def _area(b: Bounds) -> np.ndarray:
+    return (b[2] - b[0]) * (b[3] - b[1])
+
+
+def _meet(a: Bounds, b: Bounds) -> np.ndarray:
+    return np.maximum(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0) * np.maximum(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0)
+
+
+def _inside(b: Bounds, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (b[0] <= x) & (x <= b[2]) & (b[1] <= y) & (y <= b[3])
+
+
+class Blocks:
+    """Entries of one large node, in order of node_id, in blocks of near ones, whose boxes tell which can matter."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.b, self.area = bounds, _area(bounds)
+        n = bounds.shape[1]
+        self.size = max(SMALL, math.isqrt(n) // 2)
+        order = self._arranged(bounds[:2] + bounds[2:])
+        self.at = np.concatenate([order, np.full(-n % self.size, order[-1])]).reshape(-1, self.size)  # the last one again
+        self.real = (np.arange(self.at.size) < n).reshape(self.at.shape)
+        own = bounds[:, self.at]
+        self.outer = [own[0].min(1), own[1].min(1), own[2].max(1), own[3].max(1)]
+        self.width, self.height = (own[2] - own[0]).min(1), (own[3] - own[1]).min(1)
+        self.whole = bounds[0].min(), bounds[1].min(), bounds[2].max(), bounds[3].max()
+
+    def _arranged(self, middle: np.ndarray) -> np.ndarray:
+        """Halves at the median of the wider axis, down to blocks."""
+        out, todo = [], [np.arange(middle.shape[1])]
+        while todo:
+            at = todo.pop()
+            if len(at) <= self.size:
+                out.append(at)
+                continue
+            at = at[np.argsort(middle[np.ptp(middle[:, at], axis=1).argmax(), at], kind="stable")]
+            half = -(-len(at) // (2 * self.size)) * self.size
+            todo += [at[half:], at[:half]]
+        return np.concatenate(out)
 
     def best(self, x: np.ndarray, y: np.ndarray, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Entry and growth for each point; as many points at a time as keep the tables small."""
-        step = max(1, (1 << 19) // len(self.ids))
+        """Place of the entry and growth for each point."""
+        step = max(1, CELLS // max(self.at.shape))
         found = [self._best(x[i : i + step], y[i : i + step], leaf_parents) for i in range(0, len(x), step)]
         return np.concatenate([f for f, _ in found]), np.concatenate([g for _, g in found])
 
+    def _growth(self, block: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = self.at[block]
+        return np.round(_area(_grown([v[at] for v in self.b], x[:, None], y[:, None])) - self.area[at], 9)
+
     def _best(self, x: np.ndarray, y: np.ndarray, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray]:
-        x0, y0, x1, y1 = self.b
-        grown = np.minimum(x0, x[:, None]), np.minimum(y0, y[:, None]), np.maximum(x1, x[:, None]), np.maximum(y1, y[:, None])
-        growth = np.round((grown[2] - grown[0]) * (grown[3] - grown[1]) - self.area, 9)
-        rows = np.arange(len(x))
-        at = np.where(growth == growth.min(1, keepdims=True), self.area, np.inf).argmin(1)
+        x0, y0, x1, y1 = self.outer
+        dx = np.maximum(np.maximum(x0 - x[:, None], x[:, None] - x1), 0)
+        dy = np.maximum(np.maximum(y0 - y[:, None], y[:, None] - y1), 0)
+        # No box of a block grows by less; what rounding may change is allowed for.
+        bound = self.width * dy + self.height * dx + dx * dy
+        slack = 2e-9 + 1e-14 * _area(_grown(self.whole, x, y))
+        rows, nearest = np.arange(len(x)), bound.argmin(1)
+        may = bound <= (self._growth(nearest, x, y).min(1) * (1 + 1e-12) + slack)[:, None]
+        may[rows, nearest] = True
+        of, block = np.nonzero(may)
+        least, small, first = [], [], []
+        for i in range(0, len(of), CELLS // self.size):
+            o, k = of[i : i + CELLS // self.size], block[i : i + CELLS // self.size]
+            growth, at = self._growth(k, x[o], y[o]), self.at[k]
+            least.append(growth.min(1))
+            area = np.where(growth == least[-1][:, None], self.area[at], np.inf)
+            small.append(area.min(1))
+            first.append(np.where(area == small[-1][:, None], at, len(self.area)).min(1))
+        begin = np.searchsorted(of, rows)
+        least, small, first = np.concatenate(least), np.concatenate(small), np.concatenate(first)
+        growth = np.minimum.reduceat(least, begin)
+        small = np.where(least == growth[of], small, np.inf)
+        first = np.where(small == np.minimum.reduceat(small, begin)[of], first, len(self.area))
+        at = np.minimum(np.minimum.reduceat(first, begin), len(self.area) - 1)
         if leaf_parents:
-            # A box that holds the point overlaps the others no more than before: nothing is better. The rest are looked at one by one.
-            inside = (x0[at] <= x) & (x <= x1[at]) & (y0[at] <= y) & (y <= y1[at])
-            for i in np.flatnonzero(~inside):
-                at[i] = self._least_overlap(growth[i], [g[i] for g in grown])
-        return self.ids[at], growth[rows, at]
-
-    def _least_overlap(self, growth: np.ndarray, grown: list[np.ndarray]) -> int:
+            # A box that holds the point, or overlaps the others no more than before, is the best of all. Points without such a first box are looked at one by one.
+            rest = np.flatnonzero(~_inside([v[at] for v in self.b], x, y))
+            for i in rest[self._overlap(at[rest], x[rest], y[rest]) > 0]:
+                at[i], growth[i] = self._least_overlap(x[i], y[i])
+        return at, growth
+
+    def _overlap(self, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Growth of the overlap with all other entries, if the entry at a place takes the point."""
+        own = [v[at] for v in self.b]
+        grown = _grown(own, x, y)
+        x0, y0, x1, y1 = self.outer
+        of, block = np.nonzero((x0 <= grown[2][:, None]) & (x1 >= grown[0][:, None]) & (y0 <= grown[3][:, None]) & (y1 >= grown[1][:, None]))
+        more = np.zeros(len(at))
+        for i in range(0, len(of), CELLS // self.size):
+            o, k = of[i : i + CELLS // self.size], self.at[block[i : i + CELLS // self.size]]
+            others = [v[k] for v in self.b]
+            each = _meet([v[o, None] for v in grown], others) - _meet([v[o, None] for v in own], others)
+            each[(k == at[o, None]) | ~self.real[block[i : i + CELLS // self.size]]] = 0
+            more += np.bincount(o, each.sum(1), len(at))
+        return np.round(more, 9)
+
+    def _least_overlap(self, x: float, y: float) -> tuple[int, float]:
         """The entry of least growth of overlap, then of area, then least area. In that order of the rest, the first without overlap is the best of all."""
-        x0, y0, x1, y1 = self.b
-        order = np.lexsort([self.ids, self.area, growth])
+        grown = _grown(self.b, x, y)
+        growth = np.round(_area(grown) - self.area, 9)
+        order = np.lexsort([self.area, growth])
         best, least = -1, np.inf
-        meet = lambda a, o: np.maximum(np.minimum(a[2][:, None], x1[o]) - np.maximum(a[0][:, None], x0[o]), 0) * np.maximum(np.minimum(a[3][:, None], y1[o]) - np.maximum(a[1][:, None], y0[o]), 0)
         for begin in range(0, len(order), 64):
             e = order[begin : begin + 64]
-            g, own = [v[e] for v in grown], [v[e] for v in self.b]
+            g, own = [v[e] for v in grown], self.b[:, e]
             # Others that none of these grown boxes meets add nothing.
-            o = np.flatnonzero((x0 <= g[2].max()) & (x1 >= g[0].min()) & (y0 <= g[3].max()) & (y1 >= g[1].min()))
-            more = meet(g, o) - meet(own, o)
+            o = np.flatnonzero((self.b[0] <= g[2].max()) & (self.b[2] >= g[0].min()) & (self.b[1] <= g[3].max()) & (self.b[3] >= g[1].min()))
+            others = self.b[:, o]
+            more = _meet([v[:, None] for v in g], others) - _meet([v[:, None] for v in own], others)
             more[e[:, None] == o] = 0
             more = np.round(more.sum(1), 9)
             k = int(more.argmin())
@@ -156,11 +237,75 @@ class Entries:
                 best, least = int(e[k]), more[k]
             if least <= 0:
                 break
-        return best
+        return best, growth[best]
+
+
+class Entries:
+    """Boxes of many nodes, by parent and in order of node_id."""
+
+    def __init__(self, rows: pd.DataFrame):
+        ids, parent = rows["node_id"].to_numpy(np.int64), rows["parent_id"].to_numpy(np.int64)
+        order = np.lexsort([ids, parent])
+        self.ids, self.b = ids[order], rows[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float).T[:, order]
+        self.area = _area(self.b)
+        self.parents, self.begin, self.n = np.unique(parent[order], return_index=True, return_counts=True)
+        self.large: dict[int, Blocks] = {}
+
+    def best(self, parent: np.ndarray, x: np.ndarray, y: np.ndarray, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the points whose node has entries, and the entry's node_id and the growth for each of them."""
+        if not len(self.parents):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        node = np.minimum(np.searchsorted(self.parents, parent), len(self.parents) - 1)
+        known = np.flatnonzero(self.parents[node] == parent)
+        node, x, y = node[known], x[known], y[known]
+        at, growth = np.zeros(len(known), np.int64), np.zeros(len(known))
+        width = 1
+        while width <= SMALL:  # nodes of like sizes together
+            some = np.flatnonzero((self.n[node] <= width) & (self.n[node] > width // 2))
+            step = max(1, CELLS // (width * width))
+            for i in range(0, len(some), step):
+                s = some[i : i + step]
+                at[s], growth[s] = self._best(node[s], x[s], y[s], width, leaf_parents)
+            width *= 2
+        wide = np.flatnonzero(self.n[node] > SMALL)
+        wide = wide[np.argsort(node[wide], kind="stable")]
+        for s in np.split(wide, np.flatnonzero(np.diff(node[wide])) + 1) if len(wide) else ():
+            k, begin = int(node[s[0]]), int(self.begin[node[s[0]]])
+            if k not in self.large:
+                self.large[k] = Blocks(self.b[:, begin : begin + self.n[k]])
+            found, growth[s] = self.large[k].best(x[s], y[s], leaf_parents)
+            at[s] = begin + found
+        return known, self.ids[at], growth
+
+    def _best(self, node: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, leaf_parents: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For points of nodes of width entries at most: place of the entry and growth."""
+        each, n = np.arange(width), self.n[node]
+        at = self.begin[node][:, None] + np.minimum(each, n[:, None] - 1)
+        none = each >= n[:, None]
+        own, area = [v[at] for v in self.b], self.area[at]
+        grown = _grown(own, x[:, None], y[:, None])
+        growth = np.round(_area(grown) - area, 9)
+        growth[none] = area[none] = np.inf
+        rows = np.arange(len(x))
+        best = np.where(growth == growth.min(1, keepdims=True), area, np.inf).argmin(1)
+        if leaf_parents:
+            # A box that holds the point overlaps the others no more than before: nothing is better.
+            rest = np.flatnonzero(~_inside([v[rows, best] for v in own], x, y))
+            others = [v[rest][:, None, :] for v in own]
+            more = _meet([v[rest][:, :, None] for v in grown], others) - _meet([v[rest][:, :, None] for v in own], others)
+            more[:, each, each] = 0
+            more[np.broadcast_to(none[rest][:, None, :], more.shape)] = 0
+            more = np.round(more.sum(2), 9)
+            more[none[rest]] = np.inf
+            least = np.where(more == more.min(1, keepdims=True), growth[rest], np.inf)
+            best[rest] = np.where(least == least.min(1, keepdims=True), area[rest], np.inf).argmin(1)
+        return at[rows, best], growth[rows, best]
 
 
-def _entries(rows: pd.DataFrame) -> dict[int, Entries]:
-    return {parent: Entries(g["node_id"].to_numpy(np.int64), g[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float).T) for parent, g in rows.groupby("parent_id")}
+def _dealt(points: DataFrame) -> DataFrame:
+    """Few bytes, much work: a file of few row groups goes to all cores too."""
+    spark = points.sparkSession
+    return points.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
 
 
 def choose_subtree(spark: SparkSession, points: DataFrame, boxes: DataFrame, leaf_parents: bool = True) -> DataFrame:
@@ -175,25 +320,23 @@ def choose_subtree(spark: SparkSession, points: DataFrame, boxes: DataFrame, lea
     kind = points.schema["id"].dataType.simpleString()
     schema = f"id {kind}, x double, y double, node_id long, growth double"
 
-    def chosen(entries: dict[int, Entries], pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for parent, g in pdf.groupby("parent_id"):
-            if parent in entries:
-                ids, growth = entries[parent].best(g["x"].to_numpy(float), g["y"].to_numpy(float), leaf_parents)
-                yield g[["id", "x", "y"]].assign(node_id=ids, growth=growth)
+    def chosen(entries: Entries, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["parent_id"].notna()]
+        known, ids, growth = entries.best(pdf["parent_id"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), leaf_parents)
+        return pdf[["id", "x", "y"]].iloc[known].assign(node_id=ids, growth=growth)
 
     if held.limit(MAX_BOXES + 1).count() <= MAX_BOXES:
         known = spark.sparkContext.broadcast(held.toPandas())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            entries = _entries(known.value)
+            entries = Entries(known.value)
             for pdf in batches:
-                yield from chosen(entries, pdf)
+                yield chosen(entries, pdf)
 
-        return asked.mapInPandas(run, schema)
+        return _dealt(asked).mapInPandas(run, schema)
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(chosen(_entries(right), left))
-        return pd.concat(found) if found else left[["id", "x", "y"]].iloc[:0].assign(node_id=0, growth=0.0)
+        return chosen(Entries(right), left)
 
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     each = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +145,46 @@ def test_choose_subtree(spark, monkeypatch, many, leaf_parents):
         assert of == {i: plain_choice(p, [b[1:] for b in boxes if b[0] == i % 4], leaf_parents) for i, p in enumerate(places) if i % 4 < 3}
 
 
+def test_choice_among_many_boxes_is_not_made_point_by_point(monkeypatch):
+    """Points beside strips: the first box by growth overlaps no other more, which all points are asked at once."""
+    import pandas as pd
+
+    strips = [(0, i, 10.0 * i, i % 7, 10.0 * i + 9, 100.0 + i % 5) for i in range(300)]
+    rows = pd.DataFrame(strips, columns=["parent_id", "node_id", "xmin", "ymin", "xmax", "ymax"])
+    r = random.Random(3)
+    places = [(10.0 * r.randrange(300) + r.choice([3, 9.25, 9.75]), r.choice([-20.0, 50.0, 130.0])) for _ in range(200)]
+
+    def one_by_one(*a):
+        raise AssertionError("point by point")
+
+    monkeypatch.setattr(tree.Blocks if hasattr(tree, "Blocks") else tree.Entries, "_least_overlap", one_by_one)
+    entries = tree._entries(rows)[0] if hasattr(tree, "_entries") else tree.Entries(rows)
+    x, y = (np.array(v) for v in zip(*places))
+    got = entries.best(x, y, True)[0] if hasattr(tree, "_entries") else entries.best(np.zeros(len(x), int), x, y, True)[1]
+    assert got.tolist() == [plain_choice(p, [b[1:] for b in strips], True) for p in places]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_choice_among_boxes_that_overlap(seed):
+    import pandas as pd
+
+    r = random.Random(seed)
+    nodes = {7: r.choice([1, 5, 33]), 9: r.choice([2, 64, 200]), 11: 3}
+    boxes = []
+    for parent, many in nodes.items():
+        for i in range(many):
+            x, y = r.randrange(400) / 7, r.randrange(400) / 7
+            boxes.append((parent, i, x, y, x + r.randrange(41) / 7, y + r.randrange(41) / 7))
+    rows = pd.DataFrame(boxes, columns=["parent_id", "node_id", "xmin", "ymin", "xmax", "ymax"]).sample(frac=1, random_state=seed)
+    places = [(r.randrange(-20, 440) / 7, r.randrange(-20, 440) / 7) for _ in range(60)]
+    parents = [r.choice([7, 8, 9, 11, 12]) for _ in places]
+    x, y = (np.array(v) for v in zip(*places))
+    for leaf_parents in (True, False):
+        known, ids, _ = tree.Entries(rows).best(np.array(parents), x, y, leaf_parents)
+        assert known.tolist() == [i for i, p in enumerate(parents) if p in nodes]
+        assert ids.tolist() == [plain_choice(places[i], [b[1:] for b in boxes if b[0] == parents[i]], leaf_parents) for i in known]
+
+
 def test_dump_is_in_order(spark):
     scratch = Scratch(spark, "t")
     leaves = scratch.keep(tree.bulk_load_leaves(made(spark, some_points(4, 130)[:130]), 24, scratch))
