@@ -344,9 +344,21 @@ def choose_subtree(spark: SparkSession, points: DataFrame, boxes: DataFrame, lea
 
 
 def descend(spark: SparkSession, points: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, x, y, leaf_id: for each point the leaf that it would go to, from the root down, a level at a time. nodes: tree_nodes()."""
+    """id, x, y, leaf_id: for each point the leaf that it would go to, from the root down; in one pass if all tasks can hold the nodes, else a level at a time. nodes: tree_nodes()."""
     deepest = nodes.agg(F.max("level").alias("d")).first()["d"] or 0
     at = points.select("id", "x", "y", F.lit(0).cast("long").alias("parent_id"))
+    if nodes.limit(MAX_BOXES + 1).count() <= MAX_BOXES:
+        known = spark.sparkContext.broadcast(nodes.where("level > 0").select("level", "parent_id", "node_id", "xmin", "ymin", "xmax", "ymax").toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            levels = [Entries(known.value[known.value["level"] == level]) for level in range(1, deepest + 1)]
+            for pdf in batches:
+                for level, entries in enumerate(levels, 1):
+                    found, ids, _ = entries.best(pdf["parent_id"].to_numpy(np.int64), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), level == deepest)
+                    pdf = pdf.iloc[found].assign(parent_id=ids)
+                yield pdf.rename(columns={"parent_id": "leaf_id"})
+
+        return _dealt(at).mapInPandas(run, f"id {points.schema['id'].dataType.simpleString()}, x double, y double, leaf_id long")
     for level in range(1, deepest + 1):
         entries = nodes.where(F.col("level") == level).select("parent_id", "node_id", "xmin", "ymin", "xmax", "ymax")
         new = scratch.keep(choose_subtree(spark, at, entries, level == deepest))

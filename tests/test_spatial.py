@@ -185,6 +185,19 @@ def test_choice_among_boxes_that_overlap(seed):
         assert ids.tolist() == [plain_choice(places[i], [b[1:] for b in boxes if b[0] == parents[i]], leaf_parents) for i in known]
 
 
+def test_descent_in_one_pass(spark, monkeypatch):
+    """No table is written for a level, and a descent by level ends at the same leaves."""
+    scratch = Scratch(spark, "t")
+    rows = spark.createDataFrame([(i, float(i * 37 % 101), float(i * 53 % 97)) for i in range(400)], "id long, x double, y double")
+    nodes = scratch.keep(tree.tree_nodes(scratch.keep(tree.bulk_load_leaves(rows, 6, scratch)), 3, scratch))
+    asked = rows.selectExpr("id", "x * 1.125 - 2 AS x", "y * 1.25 - 5 AS y")
+    made_before = scratch.made
+    found = sorted(tuple(r) for r in tree.descend(spark, asked, nodes, scratch).select("id", "leaf_id").collect())
+    assert scratch.made == made_before and len(found) == 400
+    monkeypatch.setattr(tree, "MAX_BOXES", 0)
+    assert found == sorted(tuple(r) for r in tree.descend(spark, asked, nodes, scratch).select("id", "leaf_id").collect())
+
+
 def test_dump_is_in_order(spark):
     scratch = Scratch(spark, "t")
     leaves = scratch.keep(tree.bulk_load_leaves(made(spark, some_points(4, 130)[:130]), 24, scratch))
